@@ -1,4 +1,58 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: quality, near duplicates, repeats, personal data, packing.
+
+Each stage takes the whole of what the stage before it kept, as a written table, and all but the last give back the
+columns of `documents`.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stratakv.llm import ngram_trie, packing, pii, quality_zstd, suffix_dedup
+from stratakv.llm.workdir import Table
+
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+BROADCAST_IDS = 500_000  # ids of 8 bytes; more are joined by a shuffle
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the compression classifier rejects."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality_zstd.train(docs, labels, lambda i: quality_zstd.fold(i, 5) != 0)
+    return quality_zstd.accepted(docs, model)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least id, of each class of texts that share five-word n-grams to a similarity of 0.8."""
+    classes = ngram_trie.near_classes(docs, n=5, num=80, den=100)
+    gone = Table(classes.filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-duplicates").df
+    small = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if small else gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the strings of 200 bytes that occur more than once."""
+    return suffix_dedup.deduplicated(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with identifiers masked."""
+    return pii.masked(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' tokens and their places in sequences."""
+    path = public_tokenizers.path
+    return packing.pack(docs, path("byte_bpe_50k.tiktoken"), path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeats", repeats), ("personal_data", personal_data), ("packing", packed)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = Table(stage(spark, docs, sf_dir), f"stage-{name}").df
+    return STAGES[-1][1](spark, docs, sf_dir)

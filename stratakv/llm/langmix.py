@@ -59,7 +59,7 @@ def counts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.bincount((owner[:-2] * BUCKETS + trigrams(data))[inside], minlength=n * BUCKETS).reshape(n, BUCKETS)
 
 
-def learn(docs: DataFrame, teaches, max_rows: int = 1500, max_total: int = 20_000, max_chars: int = 20_000) -> tuple[list[str], np.ndarray]:
+def learn(docs: DataFrame, teaches, max_rows: int = 1000, max_total: int = 20_000, max_chars: int = 20_000) -> tuple[list[str], np.ndarray]:
     """Languages in order of their names, and the probability of each bucket in each."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     own = own.filter(teaches(F.col("doc_id")) & F.col("lang").isNotNull() & F.length("text").between(3, max_chars))

@@ -15,6 +15,7 @@ rule; repeated rows are scored each; an empty table gives no rows; other columns
 
 from __future__ import annotations
 
+import hashlib
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,7 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .workdir import small_batches
@@ -35,7 +36,7 @@ CUT = 0.3
 
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
 
-_loaded: dict[int, tuple] = {}
+_loaded: dict[bytes, tuple] = {}
 
 
 @dataclass
@@ -94,8 +95,8 @@ def train(docs: DataFrame, labels: DataFrame, teaches, max_rows: int = 2000, max
     """Learns from rows of `labels` for which the column teaches(doc_id) is true, joined with their texts."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     own = own.filter(teaches(F.col("doc_id")) & F.col("quality").isin(0, 1))
-    first = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = own.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= max_rows).drop("nth")
+    picked, other = (own.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows) for q in (0, 1))
+    picked = picked.unionByName(other)
     prior = {r["quality"]: r["count"] for r in own.groupBy("quality").count().collect()}
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.length("text").between(1, max_chars))
     rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "quality").collect()  # at most 2 * max_rows ids are broadcast
@@ -118,21 +119,30 @@ def hash_order(doc_id: int) -> int:
     return (doc_id * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % (1 << 64) >> 11
 
 
-def score(docs: DataFrame, model: QualityModel, held_out, cut: float = CUT) -> DataFrame:
-    """doc_id, held_out, score, and predicted: 1 if score >= cut, else 0."""
+def scorer(model: QualityModel):
+    """A function of texts that a worker sets up once a model."""
     blob = pickle.dumps(model)
-    key = hash(blob)
+    key = hashlib.sha256(blob).digest()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score_of(texts: list[str | None]) -> np.ndarray:
         if key not in _loaded:
             own = pickle.loads(blob)
             _loaded.clear()
             _loaded[key] = (own, *([_compressor(own.good), _compressor(own.bad)] if own.good else [None, None]))
         own, good, bad = _loaded[key]
+        x = features(texts, good, bad) if good else np.zeros(len(texts))
+        return 1 / (1 + np.exp(-np.clip(own.slope * x + own.intercept, -30, 30)))
+
+    return score_of
+
+
+def score(docs: DataFrame, model: QualityModel, held_out, cut: float = CUT) -> DataFrame:
+    """doc_id, held_out, score, and predicted: 1 if score >= cut, else 0."""
+    score_of = scorer(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            x = features(texts, good, bad) if good else np.zeros(len(texts))
-            p = 1 / (1 + np.exp(-np.clip(own.slope * x + own.intercept, -30, 30)))
+            p = score_of(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= cut).astype(np.int32))], [c.split()[0] for c in SCORED.split(", ")])
 
     small_batches(docs.sparkSession, 2000)
@@ -140,6 +150,18 @@ def score(docs: DataFrame, model: QualityModel, held_out, cut: float = CUT) -> D
     return ids.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "text").mapInArrow(run, SCORED)
 
 
+def accepted(docs: DataFrame, model: QualityModel, cut: float = CUT) -> DataFrame:
+    """The rows, with all their columns, whose text scores at least cut."""
+    at, score_of = docs.columns.index("text"), scorer(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(score_of(batch.column(at).to_pylist()) >= cut))
+
+    small_batches(docs.sparkSession, 2000)
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold(doc_id, of: int):
     """crc32 of an id as text, modulo `of`."""
     return F.crc32(doc_id.cast("string").cast("binary")) % of

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, js_rules, langmix, maxscore, packing, pii, quality_zstd, warc
+from . import bpe, js_rules, langmix, maxscore, ngram_trie, packing, pii, quality_zstd, suffix_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,14 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op4_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_trie.near_classes(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return js_rules.verdicts(table(spark, sf_dir, "documents"))
 
@@ -54,6 +62,8 @@ def queries() -> dict:
         "op1_quality": op1_quality,
         "op2_maxscore": op2_maxscore,
         "op3_warc": op3_warc,
+        "op4_ngram_trie": op4_ngram_trie,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op6_rules": op6_rules,
         "op7_bpe": op7_bpe,
         "op8_langmix": op8_langmix,
@@ -63,4 +73,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_maxscore": maxscore.ORACLE_SQL, "op6_rules": js_rules.ORACLE_SQL}
+    return {"op2_maxscore": maxscore.ORACLE_SQL, "op4_ngram_trie": ngram_trie.ORACLE_SQL, "op6_rules": js_rules.ORACLE_SQL}
