@@ -82,8 +82,8 @@ def grams(data: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.
         for t in short:
             x = h[first[t] : first[t] + 1].copy()
             for k in range(1, count[t]):
-                x = mix(x * _A + h[first[t] + k] * _B + np.uint64(k))
-            whole.append(mix(x + np.uint64(count[t]) * _B))
+                x = mix(x * _A + h[first[t] + k : first[t] + k + 1] * _B + np.uint64(k))
+            whole.append(mix(x + count[t : t + 1].astype(np.uint64) * _B))
         acc, of = np.concatenate([acc, *whole]), np.concatenate([of, short])
     return acc & _MASK, of
 
@@ -106,6 +106,16 @@ def ordered_sets(data: np.ndarray, bounds: np.ndarray, n: int, level: np.ndarray
     return key & np.uint64((1 << (HASH_BITS + 4)) - 1), begin
 
 
+def set_keys(sets: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each set."""
+    length = np.diff(begin)
+    total = np.zeros(len(length), dtype=np.uint64)
+    some = np.flatnonzero(length)
+    if len(some):
+        total[some] = np.add.reduceat(mix((sets & _MASK) + _A), begin[some])
+    return mix(total + length.astype(np.uint64) * _B).view(np.int64)
+
+
 def _chunks(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int]]:
     for i, j in runs(bounds, CHUNK):
         for a in range(i, j, 1000):
@@ -167,12 +177,7 @@ def signatures(docs: DataFrame, levels: np.ndarray, n: int, num: int, den: int)
             for a, b in _chunks(data, bounds):
                 sets, begin = ordered_sets(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], n, level)
                 length = np.diff(begin)
-                mixed = mix((sets & _MASK) + _A)
-                some = np.flatnonzero(length)
-                total = np.zeros(len(length), dtype=np.uint64)
-                if len(some):
-                    total[some] = np.add.reduceat(mixed, begin[some])
-                total = mix(total + length.astype(np.uint64) * _B).view(np.int64)
+                total = set_keys(sets, begin)
                 upto = np.where(length > 0, prefix_length(length, num, den), 0)
                 take = np.repeat(begin[:-1], upto) + np.arange(upto.sum()) - np.repeat(np.cumsum(upto) - upto, upto)
                 sizes.append(length)
@@ -398,12 +403,11 @@ def verified(docs: DataFrame, reps: DataFrame, coarse: DataFrame, levels: np.nda
             got, keys = [], []
             for a, b in _chunks(data, bounds):
                 sets, begin = ordered_sets(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], n, level)
-                mixed = mix((sets & _MASK) + _A)
-                for k in range(len(begin) - 1):
-                    part = slice(begin[k], begin[k + 1])
-                    got.append(sets[part].astype("<u8").tobytes())
-                    keys.append(int(mix(mixed[part].sum(dtype=np.uint64, keepdims=True) + np.uint64(len(sets[part])) * _B).view(np.int64)[0]))
-            mine = pa.array(np.array(keys, dtype=np.int64) == batch.column(0).to_numpy(), pa.bool_())  # rows of one id may differ in text
+                got += [sets[begin[k] : begin[k + 1]].astype("<u8").tobytes() for k in range(len(begin) - 1)]
+                keys.append(set_keys(sets, begin))
+            if not keys:
+                continue
+            mine = pa.array(np.concatenate(keys) == batch.column(0).to_numpy(), pa.bool_())  # rows of one id may differ in text
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(got, pa.binary())], ["key", "comp", "block", "blocks", "grams"]).filter(mine)
 
     found = texts.select("key", "text", "comp", "block", "blocks").mapInArrow(as_sets, "key long, comp long, block int, blocks int, grams binary")
