@@ -11,9 +11,11 @@ Sorting every suffix of a corpus would move it many times over, so first the suf
    run covers.
 2. Anchors that occur once leave. Where all occurrences of an anchor have equal surroundings, all their strings repeat.
    What is left are anchors with unlike surroundings, around the ends of repeats; of equal surroundings one stands for all.
-3. The suffixes that start in those surroundings are ranged: sampled splitters over their leading tokens deal them into
-   buckets, each bucket is sorted by three-way multikey quicksort on its tokens (the first eight bytes, then a hash of the
-   whole string), and neighbours are compared. The first and last run of each bucket are compared across buckets.
+3. Sampled splitters over the leading tokens of the anchors' suffixes deal those surroundings into buckets, so that all
+   of an anchor's stand together. In a bucket the suffixes that start in them are sorted by three-way multikey quicksort
+   on their tokens (the first eight bytes, then a hash of the whole string), and neighbours are compared. Anchors at the
+   ends of buckets, and with them any so frequent that it fills some, are compared across the bounds: their suffixes,
+   equal ones of a bucket as one, are ranged once more, by sampled splitters over the suffixes' own tokens.
 4. Repeats go back to all places with those surroundings, and from there to their texts.
 
 Rows are known by a hash of id and text, so a null id or a repeated row is nothing special.
@@ -30,18 +32,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .textbytes import flat, mix, prefix_hashes, runs, slice_hashes
-from .workdir import Table, small_batches
+from .workdir import Table, runtime_filters, small_batches
 
 LENGTH = 200
 GRAM = 48
 CHUNK = 1 << 19
 PLACE_BITS = 20
-BUCKET_ROWS = 1_000_000
+BUCKET_ROWS = 2_000_000
+HELD_ROWS = 3000
 
 _A, _B = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
@@ -50,13 +52,6 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def runtime_filters(spark: SparkSession) -> None:
-    """Lets Spark drop texts that a join won't need before it moves them, by its own Bloom filters of bounded size."""
-    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.enabled", "true")
-    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
-    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", "1g")
-
-
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each run of width neighbours."""
     n = len(x)
@@ -140,44 +135,51 @@ def anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.filter(F.octet_length("text") >= length).mapInArrow(run, ANCHORS)
 
 
-SUFFIXES = "lead long, whole long, gram long, around long, back int, again boolean"
+SURROUNDINGS = "lead long, gram long, around long, before int, after int, again boolean, bytes binary"
+
 
+def leading(data: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The eight bytes from each start, as numbers of the same order."""
+    out = np.zeros(len(start), dtype=np.uint64)
+    for b in range(8):
+        out = out << np.uint64(8) | data[start + b].astype(np.uint64)
+    return (out ^ np.uint64(1 << 63)).view(np.int64)
 
-def suffix_rows(reps: DataFrame, length: int) -> DataFrame:
-    """A row for each string that starts in the surroundings of reps' anchors: its leading eight bytes, as a number of
-    their order, and the hash of it all. reps: text, marks (array of gram, around, place, again)."""
+
+def surroundings(reps: DataFrame, length: int) -> DataFrame:
+    """A row for each marked anchor: the bytes that its strings cover. reps: text, marks (array of gram, around, place,
+    again)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = flat(batch.column(0))
             marks = batch.column(1)
             owner = np.repeat(np.arange(len(marks)), marks.value_lengths().to_numpy(zero_copy_only=False))
-            flat_marks = marks.flatten()
-            gram, around, place = (flat_marks.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-            again = flat_marks.field(3).to_numpy(zero_copy_only=False).astype(bool)
-            at, before, after = unpacked(place)
-            first = bounds[owner] + at - before
-            count = before - after + 1
-            order = np.argsort(first, kind="stable")
-            for i, j in runs(np.concatenate([[0], np.cumsum(count[order] + 2 * length)]), CHUNK):
-                some = order[i:j]
-                # the surroundings one behind the other, so that hashing costs what they hold and not what texts hold
-                size = count[some] + length - 1
-                begin = np.cumsum(size) - size
-                own = data[np.repeat(first[some] - begin, size) + np.arange(size.sum())]
-                prefix = prefix_hashes(own)
-                n = count[some]
-                k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                start = np.repeat(begin, n) + k
-                lead = np.zeros(len(start), dtype=np.uint64)
-                for b in range(8):
-                    lead = lead << np.uint64(8) | own[start + b].astype(np.uint64)
-                whole = slice_hashes(prefix, start, start + length)
-                signed = (lead ^ np.uint64(1 << 63)).view(np.int64)
-                columns = [pa.array(signed), pa.array(whole.view(np.int64)), *(pa.array(np.repeat(x[some], n)) for x in (gram, around)), pa.array((np.repeat(before[some], n) - k).astype(np.int32)), pa.array(np.repeat(again[some], n))]
-                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SUFFIXES.split(", ")])
-
-    return reps.mapInArrow(run, SUFFIXES)
+            fields = marks.flatten()
+            at, before, after = unpacked(fields.field(2).to_numpy(zero_copy_only=False))
+            at = at + bounds[owner]
+            first, size = at - before, before - after + length
+            lead = leading(data, at)
+            for i, j in runs(np.concatenate([[0], np.cumsum(size)]), CHUNK):
+                part = slice(i, j)
+                begin = np.cumsum(size[part]) - size[part]
+                own = data[np.repeat(first[part] - begin, size[part]) + np.arange(size[part].sum())]
+                held = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(np.concatenate([begin, [len(own)]]).astype(np.int32)), pa.py_buffer(own)])
+                columns = [pa.array(lead[part]), fields.field(0).slice(i, j - i), fields.field(1).slice(i, j - i), pa.array(before[part].astype(np.int32)), pa.array(after[part].astype(np.int32)), fields.field(3).slice(i, j - i), held]
+                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SURROUNDINGS.split(", ")])
+
+    return reps.mapInArrow(run, SURROUNDINGS)
+
+
+def suffixes_in(column: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Leading tokens of every string of `length` bytes in surroundings: its first eight bytes and the hash of it all; the
+    row it is in and its place there."""
+    data, bounds = flat(column)
+    count = np.diff(bounds) - length + 1
+    row = np.repeat(np.arange(len(count)), count)
+    k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    start = bounds[row] + k
+    return leading(data, start), slice_hashes(prefix_hashes(data), start, start + length).view(np.int64), row, k
 
 
 def multikey_order(tokens: list[np.ndarray], least: int = 4096) -> np.ndarray:
@@ -203,43 +205,150 @@ def multikey_order(tokens: list[np.ndarray], least: int = 4096) -> np.ndarray:
     return out
 
 
-REPEATS = "gram long, around long, back int, lead long, whole long, kind int"
-FOUND, PENDING, MARKER = 0, 1, 2
+WORD = 63  # strings of an anchor that one long says yes or no to
 
 
-def bucket_repeats(suffixes: DataFrame, buckets: int) -> DataFrame:
-    """gram, around, back of strings that occur again. suffixes are dealt by ranges of their tokens; equal strings can
-    stand on both sides of a bucket's bounds, so runs at the ends are compared across buckets."""
-    ranged = suffixes.repartitionByRange(buckets, "lead", "whole", F.xxhash64("gram", "around"))
+def runs_of_equals(lead: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted order of suffixes, where each run of equal ones begins in it, and the run of each place of it."""
+    order = multikey_order([lead, whole])
+    x, y = lead[order], whole[order]
+    new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])[: len(order)]
+    return order, np.flatnonzero(new), np.cumsum(new) - 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        lead, whole, gram, around, back, again = (table[c].to_numpy() for c in range(6))
-        order = multikey_order([lead, whole])
-        x, y, a = lead[order], whole[order], again[order].astype(bool)
-        new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
-        begin = np.flatnonzero(new)
+
+def splitters(around_of: DataFrame, ranges: int, length: int, most: int = 2000) -> np.ndarray:
+    """(lead, whole) of the suffixes that open the second and later ranges: even steps in a sample of at most 16 * most
+    suffixes, from the first rows by a hash."""
+    rows = around_of.orderBy(F.xxhash64("gram", "around")).limit(most).select("bytes").toArrow()
+    if not len(rows) or ranges < 2:
+        return np.zeros((0, 2), dtype=np.int64)
+    lead, whole, _, _ = suffixes_in(rows["bytes"].combine_chunks(), length)
+    step = max(1, len(lead) // (16 * most))
+    order = multikey_order([lead[::step], whole[::step]])
+    at = order[np.linspace(0, len(order), ranges + 1).astype(int)[1:-1]]
+    return np.stack([lead[::step][at], whole[::step][at]], axis=1)
+
+
+def ranges_of(lead: np.ndarray, whole: np.ndarray, split: np.ndarray) -> np.ndarray:
+    """Where sorted suffixes are cut by the splitters; equal suffixes are never parted."""
+    out = []
+    for x, y in split.tolist():
+        i, j = np.searchsorted(lead, x, "left"), np.searchsorted(lead, x, "right")
+        out.append(i + np.searchsorted(whole[i:j], y, "left"))
+    return np.array([0, *out, len(lead)], dtype=np.int64)
+
+
+def bits_of(row: np.ndarray, back: np.ndarray, rows: int, words: int) -> np.ndarray:
+    """For each of rows surroundings, a bit for each of its strings that repeats."""
+    out = np.zeros((words, rows), dtype=np.int64)
+    for w in range(words):
+        mine = back // WORD == w
+        np.bitwise_or.at(out[w], row[mine], np.int64(1) << (back[mine] % WORD).astype(np.int64))
+    return out
+
+
+#: A suffix on its way to its range.
+SUFFIX = np.dtype([("lead", "<i8"), ("whole", "<i8"), ("gram", "<i8"), ("around", "<i8"), ("back", "<i2"), ("again", "?")])
+
+
+def near_anchor(around_of: DataFrame, buckets: int, length: int, words: int, split: np.ndarray) -> DataFrame:
+    """Sampled splitters over the leading tokens of the anchors' own suffixes deal surroundings into buckets. In a bucket
+    the suffixes of all surroundings are sorted and neighbours compared, some anchors at a time. The first and the last
+    anchor of a bucket can go on in the next one: one of each run of their equal suffixes goes on to the range where it
+    belongs among all suffixes, those of a range in one piece. Rows: gram, around and either the bits of its repeats or a
+    range's suffixes."""
+    ranged = around_of.repartitionByRange(buckets, "lead", "gram", "around")
+    bits = [f"bits{k}" for k in range(words)]
+    schema = ", ".join(["gram long, around long", *(f"{b} long" for b in bits), "range int, suffixes binary"])
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def judged(part: pa.Table, onward: bool) -> Iterator[pa.RecordBatch]:
+        """Bits of the strings met again in these rows; and if the comparison goes on elsewhere, one suffix of each run of
+        equals: marked as met again, or still open."""
+        gram, around, before, again = (part[c].to_numpy() for c in ("gram", "around", "before", "again"))
+        again = again.astype(bool)
+        lead, whole, row, k = suffixes_in(part["bytes"].combine_chunks(), length)
+        order, begin, run_of = runs_of_equals(lead, whole)
         size = np.diff(np.concatenate([begin, [len(order)]]))
-        run_of = np.cumsum(new) - 1
-        repeated = size > 1
-        verdict = np.flatnonzero(repeated[run_of] & ~a)  # surroundings met twice need none
-        ends = np.unique([0, len(begin) - 1])
-        kind = np.where(repeated[ends] | a[begin[ends]], MARKER, PENDING)
-        rows = order[np.concatenate([verdict, begin[ends]])]
-        kinds = np.concatenate([np.full(len(verdict), FOUND), kind]).astype(np.int32)
-        columns = [pa.array(gram[rows]), pa.array(around[rows]), pa.array(back[rows], pa.int32()), pa.array(lead[rows]), pa.array(whole[rows]), pa.array(kinds)]
-        for k in range(0, len(rows), 50_000):
-            yield pa.RecordBatch.from_arrays([c.slice(k, 50_000) for c in columns], [c.split()[0] for c in REPEATS.split(", ")])
-
-    found = Table(ranged.mapInArrow(run, REPEATS), "bucket-repeats")
-    # across buckets: one row for the first and one for the last run of each
-    ends = found.df.filter(F.col("kind") != FOUND)
-    common = ends.groupBy("lead", "whole").agg(F.count("*").alias("n")).filter("n > 1")
-    across = ends.filter(F.col("kind") == PENDING).join(common, ["lead", "whole"]).select("gram", "around", "back")
-    return found.df.filter(F.col("kind") == FOUND).select("gram", "around", "back").unionByName(across)
+        met = (size > 1) | np.maximum.reduceat(again[row[order]], begin)
+        hit = order[met[run_of]]
+        hit = hit[~again[row[hit]]]
+        back = before[row] - k
+        out = bits_of(row[hit], back[hit], len(gram), words)
+        some = np.flatnonzero(out.any(axis=0))
+        nothing = [pa.nulls(len(some), t) for t in (pa.int32(), pa.binary())]
+        yield pa.RecordBatch.from_arrays([pa.array(gram[some]), pa.array(around[some]), *(pa.array(o[some]) for o in out), *nothing], names)
+        if onward:
+            one = order[begin]
+            held = np.empty(len(one), dtype=SUFFIX)
+            for name, values in (("lead", lead[one]), ("whole", whole[one]), ("gram", gram[row[one]]), ("around", around[row[one]]), ("back", back[one]), ("again", met)):
+                held[name] = values
+            cut = ranges_of(held["lead"], held["whole"], split)
+            full = np.flatnonzero(np.diff(cut))
+            packs = pa.array([held[cut[r] : cut[r + 1]].tobytes() for r in full], pa.binary())
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(len(full), pa.int64())] * (2 + words), pa.array(full.astype(np.int32)), packs], names)
+
+    def spread(part: pa.Table) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(part), HELD_ROWS):
+            yield from judged(part.slice(i, HELD_ROWS), True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come in order of their anchors."""
+        first, held, count = None, [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            if first is None:
+                first = (table["lead"][0].as_py(), table["gram"][0].as_py())
+            held.append(table)
+            count += len(table)
+            if count < HELD_ROWS:
+                continue
+            rows = pa.concat_tables(held).combine_chunks()
+            gram = rows["gram"].to_numpy()
+            last = int(np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))[-1])  # the last anchor may go on
+            if gram[last] == first[1]:  # still the first anchor: it is spread as it comes
+                yield from spread(rows)
+                held, count = [], 0
+                continue
+            opening = int(np.count_nonzero(gram[:last] == first[1]))
+            yield from spread(rows.slice(0, opening))
+            if last > opening:
+                yield from judged(rows.slice(opening, last - opening), False)
+            held, count = [rows.slice(last)], len(rows) - last
+            if count >= HELD_ROWS:  # an anchor of very many surroundings
+                first = (first[0], int(gram[last]))
+                yield from spread(held[0])
+                held, count = [], 0
+        if held:
+            rows = pa.concat_tables(held).combine_chunks()
+            gram = rows["gram"].to_numpy()
+            edge = (gram == first[1]) | (gram == gram[-1])
+            yield from spread(rows.filter(pa.array(edge)))
+            if not edge.all():
+                yield from judged(rows.filter(pa.array(~edge)), False)
+
+    return ranged.sortWithinPartitions("lead", "gram").mapInArrow(run, schema)
+
+
+def range_repeats(packs: DataFrame, words: int) -> DataFrame:
+    """gram, around and bits of the suffixes that occur again in their range; equal suffixes of all buckets meet there.
+    packs: range, suffixes."""
+    bits = [f"bits{k}" for k in range(words)]
+
+    def compare(rows: pa.Table) -> pa.Table:
+        held = np.frombuffer(b"".join(rows["suffixes"].to_pylist()), dtype=SUFFIX)
+        order, begin, run_of = runs_of_equals(held["lead"].copy(), held["whole"].copy())
+        own = held[order]
+        met = np.diff(np.concatenate([begin, [len(order)]])) > 1
+        hit = own[met[run_of] & ~own["again"]]  # the rest is known
+        classes, row = np.unique(np.stack([hit["gram"], hit["around"]], axis=1), axis=0, return_inverse=True)
+        out = bits_of(row.reshape(-1), hit["back"].astype(np.int64), len(classes), words)
+        return pa.table([pa.array(classes[:, 0]), pa.array(classes[:, 1]), *map(pa.array, out)], names=["gram", "around", *bits])
+
+    schema = ", ".join(["gram long, around long", *(f"{b} long" for b in bits)])
+    return packs.groupBy("range").applyInArrow(compare, schema)
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Table:
@@ -255,16 +364,20 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Table:
     met.drop()
     mixed = hits.df.filter("not alike")
     classes = Table(mixed.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("row_key", "place")).alias("one")).select("gram", "around", (F.col("n") > 1).alias("again"), "one.*"), "surroundings")
-    marks = Table(classes.df.groupBy("row_key").agg(F.collect_list(F.struct("gram", "around", "place", "again")).alias("marks")), "marked")
+    # where all surroundings of an anchor are met twice there is nothing to find out
+    open_ones = Table(classes.df.groupBy("gram").agg(F.bool_and("again").alias("done")).filter("not done").select("gram"), "open-anchors")
+    asked = classes.df.join(open_ones.df, "gram")
+    marks = Table(asked.groupBy("row_key").agg(F.collect_list(F.struct("gram", "around", "place", "again")).alias("marks")), "marked")
     # a repeated row's text is needed once
     reps = docs.join(marks.df.filter("size(marks) > 0"), "row_key").groupBy("row_key").agg(F.first("text").alias("text"), F.first("marks").alias("marks"))
-    suffixes = Table(suffix_rows(reps.select("text", "marks"), length), "suffixes")
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-suffixes.df.count() // BUCKET_ROWS))
-    found = bucket_repeats(suffixes.df, buckets)
-    bit = lambda w: F.bit_or(F.when(F.expr(f"back div 63 = {w}"), F.expr("shiftleft(1L, cast(back % 63 as int))")).otherwise(F.lit(0).cast("long"))).alias(f"bits{w}")
-    verdicts = found.groupBy("gram", "around").agg(*map(bit, range(-(-(length - gram + 1) // 63))))
-    words = [c for c in verdicts.columns if c.startswith("bits")]
-    judged = Table(classes.df.filter("again").select("gram", "around", *[F.lit((1 << 63) - 1).alias(c) for c in words]).unionByName(verdicts.join(classes.df.filter("again").select("gram", "around"), ["gram", "around"], "left_anti")), "verdicts")
+    around_of = Table(surroundings(reps.select("text", "marks"), length), "surroundings-bytes")
+    partitions, per_row = int(spark.conf.get("spark.sql.shuffle.partitions")), (length - gram + 1) // 2
+    buckets = max(partitions, -(-around_of.df.count() * per_row // BUCKET_ROWS))
+    words = [f"bits{k}" for k in range(-(-(length - gram + 1) // WORD))]
+    near = Table(near_anchor(around_of.df, buckets, length, len(words), splitters(around_of.df, buckets, length)), "near-anchors")
+    later = range_repeats(near.df.filter("range is not null").select("range", "suffixes"), len(words))
+    verdicts = near.df.filter("range is null").select("gram", "around", *words).unionByName(later).groupBy("gram", "around").agg(*[F.bit_or(c).alias(c) for c in words])
+    judged = Table(classes.df.filter("again").select("gram", "around", *[F.lit((1 << 63) - 1).alias(c) for c in words]).unionByName(verdicts), "verdicts")
     whole = hits.df.filter("alike").select("row_key", "place", *[F.lit((1 << 63) - 1).alias(c) for c in words])
     some = mixed.join(judged.df, ["gram", "around"]).select("row_key", "place", *words)
 
@@ -277,8 +390,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Table:
             start, end, of = [(at - before)[full]], [(at - after + length)[full]], [np.flatnonzero(full)]
             part = np.flatnonzero(~full)
             if len(part):
-                back = np.arange(63 * len(bits))[::-1]  # strings from the first to the last start
-                on = np.concatenate([(b[part][:, None] >> np.arange(63)) & 1 for b in bits], axis=1).astype(bool)[:, ::-1]
+                back = np.arange(WORD * len(bits))[::-1]  # strings from the first to the last start
+                on = np.concatenate([(b[part][:, None] >> np.arange(WORD)) & 1 for b in bits], axis=1).astype(bool)[:, ::-1]
                 on &= (back >= after[part][:, None]) & (back <= before[part][:, None])
                 edge = np.diff(np.pad(on, ((0, 0), (1, 1))).astype(np.int8), axis=1)
                 r, c = np.nonzero(edge == 1)
@@ -291,7 +404,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Table:
 
     runs_of = whole.unionByName(some).mapInArrow(spans, "row_key long, start long, end long")
     out = Table(runs_of.groupBy("row_key").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
-    for t in (hits, classes, marks, suffixes, judged):
+    for t in (hits, classes, open_ones, marks, around_of, near, judged):
         t.drop()
     return out
 
