@@ -217,6 +217,19 @@ class Classes:
         return a
 
 
+def differing(x: bytes, y: bytes) -> int:
+    """Differing bits of two parity bitmaps, the longer folded to the shorter."""
+    a, b = int.from_bytes(x, "little"), int.from_bytes(y, "little")
+    size, least = max(len(x), len(y)) * 8, min(len(x), len(y)) * 8
+    while size > least:
+        size //= 2
+        if len(x) > len(y):
+            a = a >> size ^ a & (1 << size) - 1
+        else:
+            b = b >> size ^ b & (1 << size) - 1
+    return (a ^ b).bit_count()
+
+
 def passing(keys: list[int], sizes: list[int], marks: list[bytes], num: int, den: int) -> list[tuple[int, int]]:
     """A spanning forest of the pairs that lengths and parity bitmaps don't rule out, as pairs of keys."""
     order = sorted(range(len(keys)), key=lambda i: (sizes[i], keys[i]))
@@ -373,19 +386,34 @@ def near_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) ->
 
 def proposals(reps: DataFrame, num: int, den: int) -> DataFrame:
     """Edges (a, b) between keys, whose components hold all links."""
-    tokens = reps.select("key", F.explode("prefix").alias("token"))
-    met = tokens.groupBy("token").agg(F.count("*").alias("m"), F.min("key").alias("lo"), F.max("key").alias("hi"), F.bit_xor("key").alias("x")).filter("m > 1")
+    tokens = reps.select("key", "n_shingles", F.explode("prefix").alias("token"))
+    ends = [f(F.struct("key", "n_shingles")).alias(c) for f, c in ((F.min, "lo"), (F.max, "hi"))]
+    met = tokens.groupBy("token").agg(F.count("*").alias("m"), *ends, F.bit_xor("key").alias("x")).filter("m > 1")
+    fits = den * F.least("lo.n_shingles", "hi.n_shingles") >= num * F.greatest("lo.n_shingles", "hi.n_shingles")
+    met = met.filter((F.col("m") > 2) | fits).select("token", "m", F.col("lo.key").alias("lo"), F.col("hi.key").alias("hi"), "x")
     groups = Table(met.groupBy("m", "lo", "hi", "x").agg(F.min("token").alias("token")), "token-groups")
+    marked = reps.select("key", "n_shingles", "parity")
     pairs = groups.df.filter("m = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+    for end in ("a", "b"):
+        pairs = pairs.join(marked.select(F.col("key").alias(end), F.col("n_shingles").alias(f"n_{end}"), F.col("parity").alias(f"parity_{end}")), end)
     members = tokens.join(groups.df.filter("m > 2").select("token", "m", "lo"), "token")
     large = members.filter(F.col("m") > GROUP).select(F.col("lo").alias("a"), F.col("key").alias("b"))
-    small = members.filter(F.col("m") <= GROUP).select("token", "key").join(reps.select("key", "n_shingles", "parity"), "key")
+    small = members.filter(F.col("m") <= GROUP).select("token", "key").join(marked, "key")
+
+    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            most = (n - 2 * needed(n, 0, num, den)).tolist()
+            stay = [differing(x, y) <= m for x, y, m in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), most)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(stay, pa.bool_()))
 
     def forest(rows: pa.Table) -> pa.Table:
         out = passing(rows["key"].to_pylist(), rows["n_shingles"].to_pylist(), rows["parity"].to_pylist(), num, den)
         return pa.table([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return pairs.unionByName(large).unionByName(small.groupBy("token").applyInArrow(forest, "a long, b long"))
+    schema = "a long, b long"
+    passed = pairs.select("a", "b", "n_a", "n_b", "parity_a", "parity_b").mapInArrow(filtered, schema)
+    return passed.unionByName(large).unionByName(small.groupBy("token").applyInArrow(forest, schema))
 
 
 def verified(docs: DataFrame, reps: DataFrame, coarse: DataFrame, levels: np.ndarray, n: int, num: int, den: int) -> DataFrame:
