@@ -41,7 +41,7 @@ SKETCH_BITS = 20
 PIECE = 1 << 12  # sketch counters a row
 HASH_BITS = 50
 GROUP = 1000
-BLOCK_GRAMS = 2_000_000
+BLOCK_GRAMS = 500_000
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -318,11 +318,10 @@ class Tree:
                 continue
             if node.ends and shortest <= depth <= longest and overlap >= needed(n, depth, num, den):
                 return True
-            rest = own[used:]
-            stack += [(c, depth, overlap, used) for c in node.children.values()]
-            for token in rest[:4].tolist()[::-1]:  # most alike first
-                if token in node.children:
-                    stack.append((node.children[token], depth, overlap, used))
+            alike = node.children.get(int(own[used])) if used < n else None
+            stack += [(c, depth, overlap, used) for c in node.children.values() if c is not alike]
+            if alike is not None:  # the likeliest way first
+                stack.append((alike, depth, overlap, used))
         return False
 
 
