@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .textbytes import flat, mix, prefix_hashes, runs, slice_hashes
-from .workdir import Table, small_batches
+from .workdir import Table, runtime_filters, small_batches
 
 CHUNK = 1 << 20  # bytes hashed at a time
 SKETCH_BITS = 20
@@ -421,7 +421,8 @@ def verified(docs: DataFrame, reps: DataFrame, coarse: DataFrame, levels: np.nda
     wanted = coarse.join(reps.select("key", "least", "n_shingles"), F.col("node") == F.col("key")).select("key", "least", "n_shingles", F.col("label").alias("comp"))
     sizes = Table(wanted.groupBy("comp").agg(F.greatest(F.lit(1), F.ceil(F.sum("n_shingles") / BLOCK_GRAMS)).cast("int").alias("blocks")), "coarse-sizes")
     wanted = Table(wanted.join(sizes.df, "comp").select("key", "least", "comp", "blocks", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block")), "wanted")
-    texts = docs.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("least"), "text").join(wanted.df, "least")
+    runtime_filters(spark)
+    texts = docs.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("least"), "text").join(wanted.df.filter("blocks > 0"), "least")
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = levels.astype(np.uint64)
