@@ -3,7 +3,7 @@
 Plain identifiers are found on the text itself. Then a chain of transducers rewrites disguises: look-alike letters and
 wide forms to ASCII, invisible characters to nothing, spelled digits to digits, written-out at and dot signs to the
 signs. Each output character keeps the source span it came from, so an identifier found in the rewritten text maps back
-to the source characters that spell it. Found spans are added unless they overlap a plain span of their kind.
+to the source characters that spell it. Found spans are added unless they lie within a span of their kind.
 
 Kinds, in order: email, ip, card, phone. A match that fails its check (parts at most 255; 16 to 19 digits and Luhn; 8 to
 15 digits) is dropped and not tried again from elsewhere.
@@ -181,7 +181,7 @@ def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     found = sorted((k, other.start[s], other.end[e - 1]) for k, s, e in plain_spans(other.text))
     every, own = list(base), {k: [x for x in base if x[0] == k] for k in range(4)}
     for k, s, e in found:
-        if all(e <= a or b <= s for _, a, b in own[k]):
+        if not any(a <= s and e <= b for _, a, b in own[k]):
             every.append((k, s, e))
             own[k].append((k, s, e))
     return base, sorted(every)
