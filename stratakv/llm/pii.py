@@ -101,11 +101,12 @@ _DIGIT_WORD = "|".join(sorted(_VALUE, key=len, reverse=True))
 # at least seven digits, some of them spelled, with marks between them
 _RUN = re.compile(rf"(?<![^\W_])(?:plus[ ]+)?(?:(?:{_DIGIT_WORD}|[0-9]+)(?:[ ]*[-,][ ]*|[ ]+(?:(?:dot|point|punkt|punto)[ ]+)?|[ ]*\.[ ]*)){{6,}}(?:{_DIGIT_WORD}|[0-9]+)(?![^\W_])", re.IGNORECASE)
 _IN_RUN = re.compile(rf"({_DIGIT_WORD})|(plus)|(dot|point|punkt|punto|\.)|([0-9])", re.IGNORECASE)
-_OPEN, _CLOSE = r"[ ]*[\[({<][ ]*", r"[ ]*[\])}>][ ]*"
+# runs of spaces and of name characters are taken whole and from their start, so that long ones cost one look
+_OPEN, _CLOSE = r"(?<![ ])[ ]*+[\[({<][ ]*+", r"[ ]*+[\])}>][ ]*+"
 _AT = re.compile(rf"{_OPEN}(?:at|@|arroba|arobase|ät){_CLOSE}", re.IGNORECASE)
 _DOT = re.compile(rf"{_OPEN}(?:dot|\.|punkt|punto|point){_CLOSE}", re.IGNORECASE)
 # bare words count only together: name at host dot end
-_BARE = re.compile(r"[A-Za-z0-9._%+-]+([ ]+at[ ]+|@)[A-Za-z0-9-]+(?:(?:[ ]+dot[ ]+|\.)[A-Za-z0-9-]+)*[ ]+dot[ ]+[A-Za-z]{2,}|[A-Za-z0-9._%+-]+([ ]+at[ ]+)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?:com|net|org|edu|gov|io|co|de|fr|es|uk|eu|info)\b", re.IGNORECASE)
+_BARE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:[ ]++at[ ]++|@)[A-Za-z0-9-]+(?:(?:[ ]+dot[ ]+|\.)[A-Za-z0-9-]+)*[ ]+dot[ ]+[A-Za-z]{2,}|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:[ ]++at[ ]++)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?:com|net|org|edu|gov|io|co|de|fr|es|uk|eu|info)\b", re.IGNORECASE)
 _BARE_DOT = re.compile(r"[ ]+dot[ ]+", re.IGNORECASE)
 _BARE_AT = re.compile(r"[ ]+at[ ]+", re.IGNORECASE)
 _IP_DOT = re.compile(r"(?<![0-9])[0-9]{1,3}(?:[ ]*(?:dot|\[\.\]|\(\.\)|\[dot\]|\(dot\))[ ]*[0-9]{1,3}){3}(?![0-9])", re.IGNORECASE)

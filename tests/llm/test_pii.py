@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -72,6 +73,13 @@ def test_clean_texts_are_left_alone():
         assert pii.all_spans(text) == ([], [])
 
 
+def test_long_runs_cost_no_more_than_their_length():
+    began = time.time()
+    for run in ("x" * 300_000, " " * 300_000, "1" * 300_000, "x." * 150_000, "one " * 20_000, "a at b " * 20_000):
+        pii.all_spans(f"jane at example dot com [at] .com {run} (dot) @")
+    assert time.time() - began < 20
+
+
 def test_table(make_docs):
     rng = random.Random(2)
     texts = [f"{prose(rng)} ab.c@mail.example.com {prose(rng)} 10.0.0.255 +1 (555) 123-4567 {CARD} 300.1.1.1", "x" * 200_000 + "a@b.co", "1" * 50_000, "@" * 1000 + "a@b.c", "a@b.c@d.e", "1.2.3.4.5.6.7.8"]
