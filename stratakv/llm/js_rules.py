@@ -71,19 +71,16 @@ def repeat_words(words: Column, window: int = 5) -> Column:
 def features(docs: DataFrame) -> DataFrame:
     """doc_id, lang, base counts, and the two histograms as arrays."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    plain = F.col("text")
-    for c in SYMBOLS:
-        plain = F.replace(plain, F.lit(c), F.lit(""))
-    kept = lambda pattern: F.length(F.regexp_replace("text", pattern, ""))
-    lines = F.filter(F.split("text", "\n"), lambda x: F.regexp_replace(x, SPACE, "") != "")
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     step = own.select(
         "doc_id", "lang",
         F.array_remove(F.split("text", SPACE), "").alias("words"),
         F.length("text").alias("chars"),
-        (F.length("text") - F.length(plain)).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        kept(r"[^\p{Lu}]+").alias("upper"), kept(r"[^0-9]+").alias("digits"), kept(r"[\p{L}\p{N}\p{M}\x20\x09-\x0D]+").alias("marks"),
+        F.regexp_replace("text", r"[\p{Ll}\x20\x09-\x0D]+", "").alias("rest"),  # the few characters that most counts are about
     )
+    left = lambda pattern: F.length(F.regexp_replace("rest", pattern, ""))
+    step = step.withColumns({"n_symbols": left(f"[^{SYMBOLS}]+").cast("long"), "upper": left(r"[^\p{Lu}]+"), "digits": left(r"[^0-9]+"), "marks": left(r"[\p{L}\p{N}\p{M}\x20\x09-\x0D]+")})
     step = step.withColumns({"n_words": F.size("words").cast("long"), "word_chars": F.length(F.array_join("words", "")).cast("long"), "n_repeat_words": repeat_words(F.col("words")), "common": F.filter("words", lambda w: w.isin(WORDS))})
     hits = [F.size("common") - F.size(F.array_remove("common", w)) for w in WORDS]
     white = F.col("chars") - F.col("word_chars")
