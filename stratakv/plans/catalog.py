@@ -281,12 +281,12 @@ def block_checksums(spark, sf_dir):
 def _levels(spark, sf_dir) -> compact.Levels:
     """Runs of the events log dealt over levels: the newest half in level 0, the rest in level 1."""
     ids = sorted(r[0] for r in runs(spark, sf_dir).select("run_id").distinct().collect())
-    half = (len(ids) + 1) // 2
+    half = len(ids) // 2
     return compact.Levels(ids[half:], {1: ids[:half], 2: [], 3: []})
 
 
 _SIZES = "sizes(level, n) AS (SELECT 0, count(*) FILTER (WHERE run_id > h) FROM c, half UNION ALL SELECT 1, count(*) FILTER (WHERE run_id <= h) FROM c, half UNION ALL SELECT 2, 0 UNION ALL SELECT 3, 0)"
-_HALF = "half AS (SELECT max(run_id) AS h FROM (SELECT run_id, row_number() OVER (ORDER BY run_id) AS i, count(*) OVER () AS n FROM c) WHERE i <= (n + 1) // 2)"
+_HALF = "half AS (SELECT coalesce(max(run_id), -1) AS h FROM (SELECT run_id, row_number() OVER (ORDER BY run_id) AS i, count(*) OVER () AS n FROM c) WHERE i <= n // 2)"
 
 
 @query_of(
@@ -320,8 +320,9 @@ def compact_apply(spark, sf_dir):
 @query_of("compact_l0_l1", f"WITH {K}, {R}, {RUNS}, {_HALF} SELECT key, arg_max(value, run_id) AS value FROM r GROUP BY key")
 def compact_l0_l1(spark, sf_dir):
     levels, every = _levels(spark, sf_dir), runs(spark, sf_dir)
-    lower = resolve.kway_merge([every.filter(F.col("run_id") == i) for i in levels.below[1]])
-    return compact.merge([every.filter(F.col("run_id") == i) for i in levels.level0], [lower], True, False)
+    of = lambda ids: [every.filter(F.col("run_id") == i) for i in ids]
+    lower = [resolve.kway_merge(of(levels.below[1]))] if levels.below[1] else []
+    return compact.merge(of(levels.level0), lower, True, False)
 
 
 @query_of("compact_mid", f"WITH {K}, {_AB} SELECT * FROM a UNION ALL SELECT * FROM b WHERE key NOT IN (SELECT key FROM a)")
@@ -399,9 +400,9 @@ def bloom_params(spark, sf_dir):
 
 @query_of("bloom_probe")
 def bloom_probe(spark, sf_dir):
-    """Keys of each run asked of the run before it."""
+    """Keys of all runs asked of the first."""
     every = runs(spark, sf_dir).select("run_id", "key")
-    return sketch.probe(sketch.build(every), every.withColumn("run_id", F.col("run_id") - 1))
+    return sketch.probe(sketch.build(every), every.withColumn("run_id", F.lit(0).cast("long")))
 
 
 @query_of("bloom_members", f"WITH {K}, {R} SELECT run_id, key, true AS maybe FROM r")
