@@ -36,7 +36,7 @@ from .components import components
 from .textbytes import flat, mix, prefix_hashes, runs, slice_hashes
 from .workdir import Table, runtime_filters, small_batches
 
-CHUNK = 1 << 20  # bytes hashed at a time
+CHUNK = 1 << 18  # bytes hashed at a time, at about 60 bytes of memory each
 SKETCH_BITS = 20
 PIECE = 1 << 12  # sketch counters a row
 HASH_BITS = 50
@@ -132,7 +132,8 @@ def sketch_levels(docs: DataFrame, n: int) -> np.ndarray:
             data, bounds = flat(batch.column(0))
             for a, b in _chunks(data, bounds):
                 sets, _ = ordered_sets(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], n, None)
-                total += np.bincount(sets & np.uint64((1 << SKETCH_BITS) - 1), minlength=len(total)).astype(np.uint32)
+                at, times = np.unique((sets & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.uint32), return_counts=True)
+                total[at] += times.astype(np.uint32)
         if total.any():
             pieces = np.minimum(total, 65535).astype("<u2").reshape(-1, PIECE)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pieces)), pa.int32()), pa.array([p.tobytes() for p in pieces], pa.binary())], ["piece", "counts"])
