@@ -96,10 +96,14 @@ _SPELLED = {
     "es": "cero uno dos tres cuatro cinco seis siete ocho nueve",
 }
 _VALUE = {w: str(d) for words in _SPELLED.values() for d, w in enumerate(words.split())} | {"oh": "0"}
-_NEEDLES = [words.split() for words in _SPELLED.values()]
 _DIGIT_WORD = "|".join(sorted(_VALUE, key=len, reverse=True))
+_ITEM, _SAID_DOT = rf"(?:{_DIGIT_WORD}|[0-9]++)", "(?:dot|point|punkt|punto)"
 # at least seven digits, some of them spelled, with marks between them
-_RUN = re.compile(rf"(?<![^\W_])(?:plus[ ]+)?(?:(?:{_DIGIT_WORD}|[0-9]+)(?:[ ]*[-,][ ]*|[ ]+(?:(?:dot|point|punkt|punto)[ ]+)?|[ ]*\.[ ]*)){{6,}}(?:{_DIGIT_WORD}|[0-9]+)(?![^\W_])", re.IGNORECASE)
+_MARKED = rf"(?:plus[ ]+)?(?:{_ITEM}(?:[ ]*[-,][ ]*|[ ]+(?:{_SAID_DOT}[ ]+)?|[ ]*\.[ ]*)){{6,}}{_ITEM}"
+# or four groups of up to three with dots between them
+_GROUP = rf"{_ITEM}(?:(?:[ ]*-[ ]*|[ ]++){_ITEM}){{0,2}}"
+_QUAD = rf"{_GROUP}(?:(?:[ ]++{_SAID_DOT}[ ]++|\.|[ ]*+[\[({{<][ ]*+(?:{_SAID_DOT}|\.)[ ]*+[\])}}>][ ]*+){_GROUP}){{3}}"
+_RUN = re.compile(rf"(?<![^\W_])(?:{_MARKED}|{_QUAD})(?![^\W_])", re.IGNORECASE)
 _IN_RUN = re.compile(rf"({_DIGIT_WORD})|(plus)|(dot|point|punkt|punto|\.)|([0-9])", re.IGNORECASE)
 # runs of spaces and of name characters are taken whole and from their start, so that long ones cost one look
 _OPEN, _CLOSE = r"(?<![ ])[ ]*+[\[({<][ ]*+", r"[ ]*+[\])}>][ ]*+"
@@ -110,7 +114,9 @@ _BARE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:[ ]++at[ ]++|@)[A
 _BARE_DOT = re.compile(r"[ ]+dot[ ]+", re.IGNORECASE)
 _BARE_AT = re.compile(r"[ ]+at[ ]+", re.IGNORECASE)
 _IP_DOT = re.compile(r"(?<![0-9])[0-9]{1,3}(?:[ ]*(?:dot|\[\.\]|\(\.\)|\[dot\]|\(dot\))[ ]*[0-9]{1,3}){3}(?![0-9])", re.IGNORECASE)
-_HINTS = ("dot", "[.]", "(.)", "{.}", "[@]", "(@)", "[at]", "(at)", "{at}", "<at>", "[ at ]", "( at )", "arroba", "arobase", "punkt", "punto", "point", " at ")
+# what the patterns above can't match without, and dear ones are spared by: a bracketed sign, " at " before a known end
+_BRACKETED = re.compile(r"[\[({<][ ]*+(?:at|@|arroba|arobase|ät|dot|\.|punkt|punto|point)[ ]*+[\])}>]", re.IGNORECASE)
+_END = re.compile(r"\.(?:com|net|org|edu|gov|io|co|de|fr|es|uk|eu|info)\b", re.IGNORECASE)
 
 
 class Rewritten:
@@ -145,7 +151,7 @@ def _spelled_run(m: re.Match) -> list[tuple[int, int, str]]:
     for x in _IN_RUN.finditer(m.string, m.start(), m.end()):
         if x.start() > at:
             edits.append((at, x.start(), ""))
-        new = _VALUE[x[1].lower()] if x[1] else "+" if x[2] else "." if x[3] else x[4]
+        new = _VALUE[x[1].casefold().replace("\u0307", "")] if x[1] else "+" if x[2] else "." if x[3] else x[4]
         edits.append((x.start(), x.end(), new))
         at = x.end()
     return edits
@@ -157,9 +163,8 @@ def rewritten(text: str) -> Rewritten | None:
     if not text.isascii() and _ODD.search(text):
         out.replace([(m.start(), m.end(), _LETTERS.get(m[0], "")) for m in _ODD.finditer(text)])
     low = out.text.lower()
-    if any(sum(w in low for w in words) >= 3 or any(w in low and low.count(w) >= 7 for w in words) for words in _NEEDLES):
-        out.replace([e for m in _RUN.finditer(out.text) if _IN_RUN.search(m[0]) and any(c.isalpha() for c in m[0]) for e in _spelled_run(m)])
-    if any(h in low for h in _HINTS[:-1]) or " at " in low and any(f".{end}" in low for end in ("com", "net", "org", "edu", "gov", "io", "co", "de", "fr", "es", "uk", "eu", "info")):
+    out.replace([e for m in _RUN.finditer(out.text) if any(c.isalpha() for c in m[0]) for e in _spelled_run(m)])
+    if "dot" in low or " at " in low and _END.search(out.text) or _BRACKETED.search(out.text):
         out.replace([(m.start(), m.end(), "@") for m in _AT.finditer(out.text)])
         out.replace([(m.start(), m.end(), ".") for m in _DOT.finditer(out.text)])
         bare = [(x.start(), x.end(), new) for m in _BARE.finditer(out.text) for p, new in ((_BARE_AT, "@"), (_BARE_DOT, ".")) for x in p.finditer(out.text, m.start(), m.end())]

@@ -96,3 +96,34 @@ def test_table(make_docs):
     assert masked.schema == docs.schema
     assert sorted(repr((r.doc_id, r.text)) for r in masked.collect()) == sorted(repr((i, pii.mask(t))) for i, t in rows)
     assert pii.find(make_docs([])).collect() == [] and pii.masked(make_docs([])).collect() == []
+
+
+@pytest.mark.parametrize(
+    "text,kind,found",
+    [
+        ("call plus one five five five oh one oh oh one five five now", "phone", "plus one five five five oh one oh oh one five five"),
+        ("+1 5 5 5 zero 1 zero 0 1 9 9", "phone", "+1 5 5 5 zero 1 zero 0 1 9 9"),
+        ("at one dot one dot one dot one now", "ip", "one dot one dot one dot one"),
+        ("at 10 dot zero dot zero dot one-two now", "ip", "10 dot zero dot zero dot one-two"),
+        ("at ten. uno punto dos (punto) cinco.nueve now", "ip", "uno punto dos (punto) cinco.nueve"),
+        ("jane {  at } mail.example.com", "email", "jane {  at } mail.example.com"),
+        ("jane <  ÄT  > mail.example.com", "email", "jane <  ÄT  > mail.example.com"),
+    ],
+)
+def test_a_disguise_counts_whatever_else_the_text_holds(text, kind, found):
+    for whole in (text, "one two three four. " + text):
+        assert (pii.KINDS.index(kind), whole.index(found), whole.index(found) + len(found)) in pii.all_spans(whole)[1]
+
+
+def test_the_prefilters_let_through_all_that_the_patterns_match():
+    rng = random.Random(3)
+    words = list(pii._VALUE)
+    for _ in range(3000):
+        w = rng.choice(words)
+        items = [rng.choice([w, w.upper(), str(rng.randrange(10))]) for _ in range(rng.randrange(7, 14))]
+        text = "call " + "".join(x + rng.choice([" ", ", ", "-", " dot ", "."]) for x in items) + w
+        assert any(c.isalpha() for m in pii._RUN.finditer(text) for c in m[0])
+        assert pii.rewritten(text) is not None
+        signs = [rng.choice("[({<") + " " * rng.randrange(4) + rng.choice(["at", "@", "ARROBA", "arobase", "ät", "Dot", ".", "punkt", "punto", "point"]) + " " * rng.randrange(4) + rng.choice("])}>") for _ in range(1)]
+        assert pii.rewritten(f"ab{signs[0]}cd") is not None
+    assert pii.rewritten("SİX ſix 5 5 5 5 5 5 now").text == "66555555 now"
