@@ -25,11 +25,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each class of texts that share five-word n-grams to a similarity of 0.8."""
-    classes = ngram_trie.near_classes(docs, n=5, num=80, den=100)
-    gone = Table(classes.filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-duplicates").df
-    small = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if small else gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """One document of each class of texts that share five-word n-grams to a similarity of 0.8: that of the least id, a null
+    id after all others. Rows go by id and text: of repeated rows, with an id or without, one stays, and of rows of one id
+    only those whose own text is in another's class go. Texts without words are in no class and all stay."""
+    found = Table(ngram_trie.surplus(docs, n=5, num=80, den=100), "near-duplicates").df
+    small = found.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    named = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "kept")
+    same = lambda d: d.doc_id.cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(d.text.cast("string")) == F.col("__hash"))
+    pick = lambda x: F.broadcast(x) if small else x
+    left = docs.join(pick(named), same(docs), "left_anti")
+    if not named.filter("kept").limit(1).count():
+        return left
+    copies = docs.join(pick(named.filter("kept")), same(docs), "left_semi")
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    one = copies.groupBy(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__hash")).agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("__row"))
+    return left.unionByName(one.select("__row.*"))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

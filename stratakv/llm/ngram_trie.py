@@ -168,7 +168,7 @@ def parity(grams_of: np.ndarray, num: int, den: int) -> bytes:
 
 
 def signatures(docs: DataFrame, levels: np.ndarray, n: int, num: int, den: int) -> DataFrame:
-    """doc_id, n_shingles, key (of the set; null if empty), prefix, parity."""
+    """doc_id, n_shingles, key (of the set; null if empty), prefix, parity, text_hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = levels.astype(np.uint64)
@@ -190,9 +190,9 @@ def signatures(docs: DataFrame, levels: np.ndarray, n: int, num: int, den: int)
                 continue
             size, key = np.concatenate(sizes), np.concatenate(keys)
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(prefixes), pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(key, pa.int64(), mask=size == 0), lists, pa.array(marks, pa.binary())], ["doc_id", "n_shingles", "key", "prefix", "parity"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(key, pa.int64(), mask=size == 0), lists, pa.array(marks, pa.binary()), batch.column(2)], ["doc_id", "n_shingles", "key", "prefix", "parity", "text_hash"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, key long, prefix array<long>, parity binary")
+    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, "doc_id long, n_shingles long, key long, prefix array<long>, parity binary, text_hash long")
 
 
 def needed(a, b, num: int, den: int):
@@ -363,6 +363,17 @@ def tree_links(sets: list[np.ndarray], labels: list[int], num: int, den: int, as
 
 def near_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; sets link when den * overlap >= num * union."""
+    rows, named = labelled(docs, n, num, den)
+    last = F.lit((1 << 63) - 1)
+    least = Table(named.groupBy("label").agg(F.min("least").alias("component_id")), "components")
+    by_key = Table(named.join(least.df, "label").select("key", "component_id"), "class-components")
+    out = rows.select("doc_id", "n_shingles", "key").join(by_key.df, "key", "left")
+    found = F.when(F.col("key").isNull(), F.col("doc_id")).when(F.col("component_id") < last, F.col("component_id"))
+    return out.select("doc_id", "n_shingles", found.alias("component_id"))
+
+
+def labelled(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n_shingles, key, text_hash of every row; key, least id and label of every set, where linked sets share a label."""
     spark = docs.sparkSession
     small_batches(spark, 2000)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -377,11 +388,20 @@ def near_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) ->
     labels = components(links)
     coarse.drop()
     named = reps.df.select("key", "least").join(labels.df, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("label", "key").alias("label"))
-    least = Table(named.groupBy("label").agg(F.min("least").alias("component_id")), "components")
-    by_key = Table(named.join(least.df, "label").select("key", "component_id"), "class-components")
-    out = rows.df.select("doc_id", "n_shingles", "key").join(by_key.df, "key", "left")
-    found = F.when(F.col("key").isNull(), F.col("doc_id")).when(F.col("component_id") < last, F.col("component_id"))
-    return out.select("doc_id", "n_shingles", found.alias("component_id"))
+    return rows.df, named
+
+
+def surplus(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """doc_id, text_hash, kept: which rows of docs, by id and hash of the text, are not the only one to keep of their class. A
+    class keeps one row: that of the least id (null after all others), then of the least text_hash. kept is true where
+    that row is repeated, so that one of the repeats stays, and false for rows that all go."""
+    rows, named = labelled(docs, n, num, den)
+    counted = rows.filter("key is not null").groupBy("key", "doc_id", "text_hash").agg(F.count("*").alias("copies"))
+    own = Table(counted.join(named.select("key", "label"), "key").select("label", "doc_id", "text_hash", "copies"), "class-rows")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
+    first = Table(own.df.groupBy("label").agg(F.min(order).alias("first"), F.sum("copies").alias("size")).filter("size > 1"), "class-firsts")
+    kept = F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.hash"))
+    return own.df.join(first.df, "label").withColumn("kept", kept).filter("not kept or copies > 1").select("doc_id", "text_hash", "kept")
 
 
 def proposals(reps: DataFrame, num: int, den: int) -> DataFrame:

@@ -62,3 +62,21 @@ def test_registry_names():
     names = __spark_entry__.queries()
     assert [sum(bool(re.match(rf"op{n}_", x)) for x in names) for n in range(1, 11)] == [1] * 10
     assert "pipeline" in names and set(registry.oracle_sql()) <= set(names)
+
+
+def test_one_row_stays_of_each_class(spark, make_docs):
+    rng = random.Random(5)
+    t = [prose(rng) for _ in range(8)]
+    near = " ".join([*t[3].split()[:-1], "changed"])
+    rows = [(1, t[0])] * 3 + [(1, t[1])]  # repeats, and another text of their id
+    rows += [(None, t[2])] * 3  # repeats without an id
+    rows += [(2, t[3]), (7, near), (7, t[4]), (None, near)]  # of id 7 one text is near another's
+    rows += [(8, t[5]), (None, t[5]), (9, t[6]), (9, t[6]), (5, t[6]), (5, t[6])]
+    rows += [(10, ""), (10, ""), (11, None), (None, None), (None, t[7])]
+    docs = make_docs(rows)
+    out = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert out.schema == docs.schema
+    want = [(1, t[0]), (1, t[1]), (None, t[2]), (2, t[3]), (7, t[4]), (8, t[5]), (5, t[6]), (10, ""), (10, ""), (11, None), (None, None), (None, t[7])]
+    assert sorted(repr(tuple(r)[:2]) for r in out.collect()) == sorted(map(repr, want))
+    assert {tuple(map(str, r)) for r in out.collect()} <= {tuple(map(str, r)) for r in docs.collect()}
+    assert corpus_pipeline.near_duplicates(spark, make_docs([]), "").collect() == []
