@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .workdir import small_batches
 
-NONE = np.int64(1) << 40  # rank of a pair that never merges
+NONE = np.int64(1) << 31  # rank of a pair that never merges; leaves 31 bits for a position
 KEEP = 600_000  # pre-tokens a worker keeps
 
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -55,7 +55,8 @@ class Codec:
 
     def merge_rows(self, words: list[bytes], width: int) -> list[bytes]:
         """ids of words of at most width bytes (a power of two), as little-endian 32-bit strings."""
-        n = len(words)
+        n, bits = len(words), width.bit_length()
+        none = NONE << bits
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=n)
         raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), dtype=np.uint8).reshape(n, width)
         ids = self.byte_id[raw]
@@ -63,31 +64,31 @@ class Codec:
         alive = here < lengths[:, None]
         follows = np.broadcast_to(here + 1, (n, width)).astype(np.int32).copy()  # next live position
         before = np.broadcast_to(here - 1, (n, width)).astype(np.int32).copy()
-        tree = np.full((n, 2 * width), NONE << 20, dtype=np.int64)  # rank << 20 | position: the least is the leftmost minimum
+        tree = np.full((n, 2 * width), none, dtype=np.int64)  # rank << bits | position: the least is the leftmost minimum
         if width > 1:
             a, b = np.nonzero(alive[:, 1:])
-            tree[a, width + b] = self.pair_rank(ids[a, b], ids[a, b + 1]) << 20 | b
+            tree[a, width + b] = self.pair_rank(ids[a, b], ids[a, b + 1]) << bits | b
         for level in _levels(width):
             tree[:, level : 2 * level] = np.minimum(tree[:, 2 * level : 4 * level : 2], tree[:, 2 * level + 1 : 4 * level : 2])
         rows = np.arange(n)
-        while len(rows := rows[tree[rows, 1] < NONE << 20]):
+        while len(rows := rows[tree[rows, 1] < none]):
             best = tree[rows, 1]
-            at = best & 0xFFFFF
-            ids[rows, at] = best >> 20
+            at = best & ((1 << bits) - 1)
+            ids[rows, at] = best >> bits
             gone = follows[rows, at]
             alive[rows, gone] = False
             after = follows[rows, gone]
             follows[rows, at] = after
             has_after = after < lengths[rows]
             before[rows[has_after], after[has_after]] = at[has_after]
-            tree[rows, width + gone] = NONE << 20
-            tree[rows, width + at] = NONE << 20
+            tree[rows, width + gone] = none
+            tree[rows, width + at] = none
             r, p, q = rows[has_after], at[has_after], after[has_after]
-            tree[r, width + p] = self.pair_rank(ids[r, p], ids[r, q]) << 20 | p
+            tree[r, width + p] = self.pair_rank(ids[r, p], ids[r, q]) << bits | p
             prior = before[rows, at]
             has_prior = prior >= 0
             r, p, q = rows[has_prior], prior[has_prior], at[has_prior]
-            tree[r, width + p] = self.pair_rank(ids[r, p], ids[r, q]) << 20 | p
+            tree[r, width + p] = self.pair_rank(ids[r, p], ids[r, q]) << bits | p
             for changed, of in ((gone, rows), (at, rows), (p, r)):
                 node = (width + changed) >> 1
                 while len(node) and node[0]:

@@ -41,3 +41,14 @@ def test_the_store_of_words_is_bounded(monkeypatch):
         assert own.encode([text])[0] == np.array(lib.encode_ordinary(text), dtype="<u4").tobytes()
         assert len(own.kept) <= 50
     assert own.decode(own.encode(["a ü 🎉"])[0]) == "a ü 🎉".encode()
+
+
+def test_a_pre_token_of_more_than_a_megabyte():
+    own, lib = bpe.Codec(PATH, P.PATTERN), reference()
+    # letters whose bytes merge with nothing, so that the few merges are at the end
+    apart = next(c for c in map(chr, range(0x1400, 0x9FFF)) if c.isalpha() and len(lib.encode_ordinary(c * 4)) == 12)
+    text = apart * 360_000 + "the" + apart + "and"
+    assert len(text.encode()) > 1 << 20 and own.pattern.findall(text) == [text]
+    ids = own.encode([text])[0]
+    assert ids == np.array(lib.encode_ordinary(text), dtype="<u4").tobytes()
+    assert own.decode(ids) == text.encode()
