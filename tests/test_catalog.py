@@ -40,3 +40,14 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(catalog.queries()) <= set(__spark_entry__.queries())
+
+
+def test_merge_of_more_than_eight_runs(spark):
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
+    assert catalog.runs(spark, sf).agg({"run_id": "max"}).first()[0] > 8
+    got = sorted((r.key, r.value) for r in catalog.queries()["kway_merge_all"](spark, sf).collect())
+    assert got == sorted(con.execute(catalog.oracle_sql()["kway_merge_all"]).fetchall())
+    log = catalog.events_log(spark, sf)
+    assert got == sorted((r.key, r.value) for r in catalog.resolve.newest(log).collect())
