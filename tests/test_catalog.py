@@ -51,3 +51,8 @@ def test_merge_of_more_than_eight_runs(spark):
     assert got == sorted(con.execute(catalog.oracle_sql()["kway_merge_all"]).fetchall())
     log = catalog.events_log(spark, sf)
     assert got == sorted((r.key, r.value) for r in catalog.resolve.newest(log).collect())
+
+
+def test_the_whole_signed_scan(spark, con):
+    got = [(r.key, r.value) for r in catalog.queries()["signed_scan_all"](spark, SF).collect()]
+    assert len(got) > 50 and got == con.execute(catalog.oracle_sql()["signed_scan_all"]).fetchall()
