@@ -6,8 +6,9 @@ the histograms of all rows of that language. The text's divergence from a refere
 distances (the square root of the divergence in bits, 0 to 1); its verdict looks at the nearest reference. Texts of fewer
 than `MIN_WORDS` words are too short for a histogram and are not judged by it.
 
-The features are written once, one narrow row a document, so texts are scanned once; references, which the plan holds
-as literals, are at most `MOST_LANGS` rows, those of the most documents.
+The features are written once, one narrow row a document, so texts are scanned once. Every language has its reference:
+up to `MOST_LANGS` the plan holds them as literals, more go to each row as one broadcast array of the distinct ones, so
+the work is rows times distinct references.
 
 Defined cases: a null text has no words and fails the base rules, and so does an empty one; a null language adds to no
 reference; without any reference the divergence is null and nobody is rejected by it; a null id stays null; repeated rows
@@ -96,28 +97,34 @@ def shares(hist: Column) -> Column:
     return F.when(total > 0, let(total, lambda t: F.transform(real, lambda x: x / t)))
 
 
-def distance(p: Column, q: list[float]) -> Column:
+def distance(p: Column, q: list[float] | Column) -> Column:
     """Jensen-Shannon distance of two arrays of shares."""
     term = lambda a, m: F.when(a > 0, a * F.log2(a / m)).otherwise(0.0)
-    parts = F.zip_with(p, F.array(*map(F.lit, q)), lambda a, b: let((a + b) / 2, lambda m: (term(a, m) + term(b, m)) / 2))
+    parts = F.zip_with(p, q if isinstance(q, Column) else F.array(*map(F.lit, q)), lambda a, b: let((a + b) / 2, lambda m: (term(a, m) + term(b, m)) / 2))
     return F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda a, y: a + y), F.lit(0.0)))
 
 
-def references(rows: DataFrame, most: int = MOST_LANGS) -> DataFrame:
+def references(rows: DataFrame) -> DataFrame:
     """One row a language: the sums of its rows' histograms."""
     sums = []
     for name, n in (("char_hist", 5), ("word_hist", len(WORDS) + 1)):
         sums.append(F.array(*[F.sum(F.col(name)[i]) for i in range(n)]).alias(name))
-    return rows.filter(F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("n"), *sums).orderBy(F.desc("n"), "lang").limit(most)
+    return rows.filter(F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("n"), *sums)
 
 
 def judge(docs: DataFrame, min_words: int = MIN_WORDS, far: float = FAR, short: float = SHORT) -> DataFrame:
     """Base counts, base_failed, kept, and the divergence that kept rests on."""
     rows = Table(features(docs), "rule-features").df
-    pairs = [[[n / sum(h) for n in h] for h in (r["char_hist"], r["word_hist"])] for r in references(rows).collect() if sum(r["char_hist"]) and sum(r["word_hist"])]
-    near = lambda c, w: F.least(*[(distance(c, chars) + distance(w, words)) / 2 for chars, words in pairs] * (2 if len(pairs) == 1 else 1))
+    known = Table(references(rows), "rule-references").df
     both = F.struct(shares(F.col("char_hist")).alias("c"), shares(F.col("word_hist")).alias("w"))
-    apart = let(both, lambda x: near(x["c"], x["w"])) if pairs else F.lit(None).cast("double")
+    if len(few := known.orderBy("lang").limit(MOST_LANGS + 1).collect()) <= MOST_LANGS:
+        pairs = [[[n / sum(h) for n in h] for h in (r["char_hist"], r["word_hist"])] for r in few if sum(r["char_hist"]) and sum(r["word_hist"])]
+        near = lambda c, w: F.least(*[(distance(c, chars) + distance(w, words)) / 2 for chars, words in pairs] * (2 if len(pairs) == 1 else 1))
+        apart = let(both, lambda x: near(x["c"], x["w"])) if pairs else F.lit(None).cast("double")
+    else:
+        every = known.select(both.alias("r")).filter("r.c is not null and r.w is not null").agg(F.collect_set("r").alias("refs"))
+        rows = rows.crossJoin(F.broadcast(every))
+        apart = let(both, lambda x: F.array_min(F.transform("refs", lambda r: (distance(x["c"], r["c"]) + distance(x["w"], r["w"])) / 2)))
     judged = rows.withColumn("divergence", F.when(F.col("n_words") >= min_words, apart))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~F.coalesce(F.col("divergence") > far + short / F.sqrt("n_words"), F.lit(False))).alias("kept"), "divergence")

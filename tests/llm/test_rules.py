@@ -64,3 +64,17 @@ def test_no_references_and_no_rows(make_docs):
 def test_no_python_in_the_plan(make_docs):
     plan = js_rules.verdicts(make_docs(EDGES))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_every_language_has_its_reference(make_docs, monkeypatch):
+    rng = random.Random(4)
+    odd = " ".join(f"{rng.randrange(10**6)}!?" for _ in range(400))
+    rows = [(k, prose(rng), f"l{k % 70:02}") for k in range(140)] + [(999, odd, "zz"), (1000, prose(rng), None), (1001, "", "empty"), (1002, None, "none")]
+    many = {r.doc_id: (r.kept, r.divergence) for r in js_rules.judge(make_docs(rows)).collect()}
+    assert many[999][0] and many[999][1] < 1e-6
+    monkeypatch.setattr(js_rules, "MOST_LANGS", 1000)
+    few = {r.doc_id: (r.kept, r.divergence) for r in js_rules.judge(make_docs(rows[:20] + rows[-4:])).collect()}
+    monkeypatch.setattr(js_rules, "MOST_LANGS", 2)
+    for r in js_rules.judge(make_docs(rows[:20] + rows[-4:])).collect():
+        kept, divergence = few[r.doc_id]
+        assert r.kept == kept and (r.divergence is None) == (divergence is None) and abs((r.divergence or 0) - (divergence or 0)) < 1e-9
