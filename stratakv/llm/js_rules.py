@@ -37,6 +37,7 @@ COMMON = {
     "es": "de la que el en y los se del las por un",
 }
 WORDS = sorted({w for words in COMMON.values() for w in words.split()})
+FIRST_CODE = 0x100  # code point of the first common word's character
 
 
 def let(value: Column, body) -> Column:
@@ -82,12 +83,15 @@ def features(docs: DataFrame) -> DataFrame:
     )
     left = lambda pattern: F.length(F.regexp_replace("rest", pattern, ""))
     step = step.withColumns({"n_symbols": left(f"[^{SYMBOLS}]+").cast("long"), "upper": left(r"[^\p{Lu}]+"), "digits": left(r"[^0-9]+"), "marks": left(r"[\p{L}\p{N}\p{M}\x20\x09-\x0D]+")})
-    step = step.withColumns({"n_words": F.size("words").cast("long"), "word_chars": F.length(F.array_join("words", "")).cast("long"), "n_repeat_words": repeat_words(F.col("words")), "common": F.filter("words", lambda w: w.isin(WORDS))})
-    hits = [F.size("common") - F.size(F.array_remove("common", w)) for w in WORDS]
+    # each common word as one character, so that counting a word is counting a character
+    code = F.create_map(*[F.lit(x) for k, w in enumerate(WORDS) for x in (w, chr(FIRST_CODE + k))])
+    common = F.array_join(F.transform(F.filter("words", lambda w: w.isin(WORDS)), lambda w: code[w]), "")
+    step = step.withColumns({"n_words": F.size("words").cast("long"), "word_chars": F.length(F.array_join("words", "")).cast("long"), "n_repeat_words": repeat_words(F.col("words")), "common": common})
+    hits = [F.length("common") - F.length(F.replace("common", F.lit(chr(FIRST_CODE + k)), F.lit(""))) for k in range(len(WORDS))]
     white = F.col("chars") - F.col("word_chars")
     classes = [F.col("upper"), F.col("digits"), F.col("marks"), white, F.col("chars") - F.col("upper") - F.col("digits") - F.col("marks") - white]
     as_array = lambda xs: F.array(*[x.cast("long") for x in xs])
-    return step.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", as_array(classes).alias("char_hist"), as_array([*hits, F.col("n_words") - F.size("common")]).alias("word_hist"))
+    return step.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", as_array(classes).alias("char_hist"), as_array([*hits, F.col("n_words") - F.length("common")]).alias("word_hist"))
 
 
 def shares(hist: Column) -> Column:
