@@ -9,18 +9,22 @@ must share an n-gram within the first n - ceil(s * n) + 1 of each.
    `GROUP` members, pairs are held against each other by length and by parity bitmaps (the number of differing bits is
    at most the size of the symmetric difference, so no link is lost), and only a spanning forest of what passes goes on;
    beyond, all members are proposed together. Neither way puts out the pairs of a group.
-3. Proposals' components are where links can be. Each is a group of sets for the prefix trees; a large one is dealt into
-   blocks of a bounded number of n-grams.
-4. In a group every class of linked sets is a radix tree over the global order. A set is carried down a tree with the
-   overlap of the path so far, shared by all sets below; a subtree is left out when the overlap and what can still come,
-   by the lengths remaining on both sides, fall short. The first link joins it to the class; classes it links to become
-   one. Blocks of a large group meet afterwards, but only where sets of different classes are left: the sets outside the
-   group's largest class are the queries, in blocks, against all blocks.
-5. Components of the links, then the least id of each.
+3. Proposals' components are where links can be. Each is a group of sets for the prefix trees. Small groups share tasks; a
+   large one is cut into bands of lengths, so that only sets of the same or neighbouring bands can link, and a band into
+   blocks, so that a task holds two blocks whatever the group's size. Every two blocks that can hold a link meet once.
+4. A task's tree is a radix tree of one block's sets, frequent n-grams first, so that near copies share long paths. The
+   other block's sets are carried down it together, each with its overlap of the path so far, which all sets below share;
+   a set is left out of a subtree when the overlap and what can still come, by the lengths remaining on both sides, fall
+   short. At a set's end the overlap is exact: those that link are counted, with their copies, and a spanning forest goes on.
+5. Components of the links, then the least id of each; the numbers of links of all tasks, added up.
+
+Links within one large group of unlike texts are as many as its pairs; they are counted where they are found and never
+put out one by one, but the tasks of a group of B blocks a band are of the order of B * B.
 
 Defined cases: a null or empty text, or one without words, has an empty set, links to nothing and is its own component; a
 text with fewer words than n is one n-gram; rows with a null id take part, and their component is the least other id in
-it or null; repeated rows are in one component and each returned; empty tables give no rows; other columns are not read.
+it or null; repeated rows are in one component, each returned, and linked with one another; empty tables give no rows;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -41,7 +45,10 @@ SKETCH_BITS = 20
 PIECE = 1 << 12  # sketch counters a row
 HASH_BITS = 50
 GROUP = 1000
-BLOCK_GRAMS = 500_000
+BLOCK_GRAMS = 500_000  # of a task's block at most
+SPLIT_GRAMS = 64_000  # groups beyond are split
+SPLITS = 8  # into so many blocks, and more only where BLOCK_GRAMS asks for it
+CELLS = 8 << 20  # of an incidence matrix
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -200,24 +207,6 @@ def needed(a, b, num: int, den: int):
     return -(-num * (a + b) // (num + den))
 
 
-class Classes:
-    """Union-find over positions."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, a: int, b: int) -> int:
-        a, b = sorted((self.find(a), self.find(b)))
-        self.up[b] = a
-        return a
-
-
 def differing(x: bytes, y: bytes) -> int:
     """Differing bits of two parity bitmaps, the longer folded to the shorter."""
     a, b = int.from_bytes(x, "little"), int.from_bytes(y, "little")
@@ -236,7 +225,7 @@ def passing(keys: list[int], sizes: list[int], marks: list[bytes], num: int, den
     order = sorted(range(len(keys)), key=lambda i: (sizes[i], keys[i]))
     bits = [np.frombuffer(marks[i], dtype=np.uint8) for i in order]
     size = np.array([sizes[i] for i in order])
-    classes, out = Classes(len(order)), []
+    out = []
     folded: dict[int, np.ndarray] = {}  # all bitmaps no shorter than a width, folded to it
     widths = np.array([len(b) for b in bits])
     label = np.arange(len(order))
@@ -259,143 +248,150 @@ def passing(keys: list[int], sizes: list[int], marks: list[bytes], num: int, den
 
 
 class Node:
-    """A tree node: the n-grams on the way to it, its children by their first n-gram, the sets that end here, and the
-    lengths of all sets at and below it."""
-
-    __slots__ = ("path", "children", "ends", "least", "most")
+    """A tree node: the way to it is n-grams start to stop of the set `of`; children by their first n-gram, sets that end
+    here, and the least and the most n-grams of the sets at and below it."""
 
-    def __init__(self, path: np.ndarray, size: int):
-        self.path, self.children, self.ends, self.least, self.most = path, {}, [], size, size
+    __slots__ = ("of", "start", "stop", "children", "ends", "least", "most")
 
+    def __init__(self, of: int, start: int, stop: int, least: int, most: int):
+        self.of, self.start, self.stop, self.children, self.ends, self.least, self.most = of, start, stop, {}, [], least, most
 
-class Tree:
-    """A radix tree of sets in global order."""
 
-    def __init__(self, num: int, den: int):
-        self.num, self.den, self.root, self.members = num, den, Node(np.zeros(0, np.uint64), 0), []
-        self.root.least = 1 << 62
-
-    def insert(self, own: np.ndarray, name: int) -> None:
-        self.members.append((own, name))
-        node, at = self.root, 0
+def prefix_tree(sets: list[np.ndarray], members: list[int]) -> Node:
+    """Radix tree of some of the sets, each in the global order."""
+    root = Node(-1, 0, 0, 1 << 62, 0)
+    for i in members:
+        own, node, at = sets[i], root, 0
         while True:
             node.least, node.most = min(node.least, len(own)), max(node.most, len(own))
             if at == len(own):
-                node.ends.append(name)
-                return
-            child = node.children.get(int(own[at]))
+                node.ends.append(i)
+                break
+            first = int(own[at])
+            child = node.children.get(first)
             if child is None:
-                child = node.children[int(own[at])] = Node(own[at:], len(own))
-                child.ends.append(name)
-                return
-            length = min(len(child.path), len(own) - at)
-            differ = np.flatnonzero(child.path[:length] != own[at : at + length])
+                child = node.children[first] = Node(i, at, len(own), len(own), len(own))
+                child.ends.append(i)
+                break
+            path = sets[child.of][child.start : child.stop]
+            length = min(len(path), len(own) - at)
+            differ = np.flatnonzero(path[:length] != own[at : at + length])
             same = int(differ[0]) if len(differ) else length
-            if same < len(child.path):
-                upper = Node(child.path[:same], child.least)
-                upper.most = child.most
-                upper.children[int(child.path[same])] = child
-                child.path = child.path[same:]
-                node.children[int(upper.path[0])] = upper
-                child = upper
+            if same < len(path):
+                upper = Node(child.of, child.start, child.start + same, child.least, child.most)
+                child.start += same
+                upper.children[int(path[same])] = child
+                node.children[first] = child = upper
             node, at = child, at + same
-
-    def linked(self, own: np.ndarray) -> bool:
-        """Whether some set of the tree links to own."""
-        n, num, den = len(own), self.num, self.den
+    return root
+
+
+def tree_join(sets: list[np.ndarray], copies: np.ndarray, sides: np.ndarray, num: int, den: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """A spanning forest of the links, as pairs of positions, and each set's number of links, counting a linked set's
+    copies. sides: 0 for sets of the tree, 1 for those carried down it, 2 for sets that are both; the sets are of sides 0
+    and 1, or all of side 2."""
+    members, asked = np.flatnonzero(sides != 1), np.flatnonzero(sides != 0)
+    links = np.zeros(len(sets), dtype=np.int64)
+    forest: list[tuple[int, int]] = []
+    if not len(members) or not len(asked) or len(sets) < 2:
+        return forest, links
+    size = np.array([len(x) for x in sets])
+    of_tree, of_asked = np.concatenate([sets[i] for i in members]), np.concatenate([sets[i] for i in asked])
+    if sides[0] == 2:
+        vocabulary, times = np.unique(of_tree, return_counts=True)
+        vocabulary = vocabulary[times > 1]
+    else:
+        vocabulary = np.intersect1d(of_tree, of_asked)
+    if not len(vocabulary):
+        return forest, links
+    at = np.minimum(np.searchsorted(vocabulary, of_tree), len(vocabulary) - 1)
+    shared = vocabulary[at] == of_tree
+    ids, before = at[shared], np.concatenate([[0], np.cumsum(shared)])  # shared n-grams, and how many stand before a place
+    offset = np.zeros(len(sets), dtype=np.int64)
+    offset[members] = np.cumsum(size[members]) - size[members]
+    tree = prefix_tree(sets, members.tolist())
+    label = np.arange(len(sets))
+    step = max(1, CELLS // len(vocabulary))
+    for begin in range(0, len(asked), step):
+        part = asked[begin : begin + step]
+        own = np.concatenate([sets[i] for i in part])
+        at = np.minimum(np.searchsorted(vocabulary, own), len(vocabulary) - 1)
+        shared = vocabulary[at] == own
+        holds = np.zeros((len(vocabulary), len(part)), dtype=np.uint8)
+        holds[at[shared], np.repeat(np.arange(len(part)), size[part])[shared]] = 1
+        upto = np.cumsum(holds, axis=0, dtype=np.int32)
+        n = size[part]
         shortest, longest = -(-num * n // den), n * den // num
-        stack = [(self.root, 0, 0, 0)]  # node, its parent's depth, overlap up to there, n-grams of own used
+        stack = [(tree, 0, np.arange(len(part)), np.zeros(len(part), dtype=np.int64), upto[-1].astype(np.int64))]
         while stack:
-            node, depth, overlap, used = stack.pop()
-            if node.most < shortest or node.least > longest:
-                continue
-            if len(node.path):
-                at = np.searchsorted(own[used:], node.path) + used
-                overlap += int((own[np.minimum(at, n - 1)] == node.path).sum())
-                last = int(at[-1])
-                used = last + (last < n and own[last] == node.path[-1])
-                depth += len(node.path)
-            if overlap + min(min(node.most, longest) - depth, n - used) < needed(n, max(node.least, shortest), num, den):
+            node, depth, alive, overlap, left = stack.pop()
+            low, high = (before[offset[node.of] + x] for x in (node.start, node.stop)) if node.of >= 0 else (0, 0)
+            if high > low:
+                way = ids[low:high]
+                overlap = overlap + (holds[way] if len(alive) == len(part) else holds[way[:, None], alive]).sum(axis=0, dtype=np.int64)
+                left = upto[-1][alive] - upto[way[-1]][alive]
+            depth += node.stop - node.start
+            can = overlap + np.minimum(np.minimum(node.most, longest[alive]) - depth, left)
+            stay = (can >= needed(n[alive], np.maximum(node.least, shortest[alive]), num, den)) & (shortest[alive] <= node.most) & (longest[alive] >= node.least)
+            if not stay.all():
+                alive, overlap, left = alive[stay], overlap[stay], left[stay]
+            if not len(alive):
                 continue
-            if node.ends and shortest <= depth <= longest and overlap >= needed(n, depth, num, den):
-                return True
-            alike = node.children.get(int(own[used])) if used < n else None
-            stack += [(c, depth, overlap, used) for c in node.children.values() if c is not alike]
-            if alike is not None:  # the likeliest way first
-                stack.append((alike, depth, overlap, used))
-        return False
-
-
-def tree_links(sets: list[np.ndarray], labels: list[int], num: int, den: int, asked: list[bool] | None = None) -> list[tuple[int, int]]:
-    """Links, as pairs of positions, that make the labels' classes those of all links among the sets; sets of one label
-    are one class from the start. asked: if given, only pairs with an asked set count."""
-    trees: dict[int, Tree] = {}
-    classes = Classes(len(sets))
-    of_label: dict[int, int] = {}
-    out = []
-    order = sorted(range(len(sets)), key=lambda i: (asked is not None and asked[i], len(sets[i]), i))
-    for i in order:
-        home = of_label.setdefault(labels[i], i)
-        mine = classes.join(i, home)
-        if asked is None or asked[i]:
-            for c in [c for c in trees if c != classes.find(i)]:
-                if c in trees and c != (mine := classes.find(i)) and trees[c].linked(sets[i]):
-                    out.append((i, c))
-                    top = classes.join(i, c)
-                    held = [trees.pop(k) for k in {c, mine, top} if k in trees]
-                    held.sort(key=lambda t: -len(t.members))
-                    if held:
-                        for other in held[1:]:
-                            for own, name in other.members:
-                                held[0].insert(own, name)
-                        trees[top] = held[0]
-        top = classes.find(i)
-        for k in [k for k in trees if classes.find(k) != k]:  # a class that got another name by its label
-            moved = trees.pop(k)
-            if top in trees:
-                for own, name in moved.members:
-                    trees[top].insert(own, name)
-            else:
-                trees[classes.find(k)] = moved
-        trees.setdefault(top, Tree(num, den)).insert(sets[i], i)
-    return out
+            for own_set in node.ends:
+                hit = part[alive[(overlap >= needed(n[alive], depth, num, den)) & (shortest[alive] <= depth) & (longest[alive] >= depth)]]
+                hit = hit[hit != own_set]
+                if len(hit):
+                    links[own_set] += copies[hit].sum()
+                    if sides[0] != 2:
+                        links[hit] += copies[own_set]
+                    other, one = np.unique(label[hit], return_index=True)
+                    for x, y in zip(other.tolist(), hit[one].tolist()):
+                        if x != label[own_set]:
+                            forest.append((own_set, y))
+                            label[label == x] = label[own_set]
+            stack += [(c, depth, alive, overlap, left) for c in node.children.values()]
+    return forest, links
 
 
 def near_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row; sets link when den * overlap >= num * union."""
-    rows, named = labelled(docs, n, num, den)
+    """doc_id, n_shingles, component_id, n_links of every row; sets link when den * overlap >= num * union. n_links is the
+    number of other rows that link to the row."""
+    rows, named, counts = labelled(docs, n, num, den)
     last = F.lit((1 << 63) - 1)
+    zero = F.lit(0).cast("long")
     least = Table(named.groupBy("label").agg(F.min("least").alias("component_id")), "components")
-    by_key = Table(named.join(least.df, "label").select("key", "component_id"), "class-components")
+    own = named.join(counts, "key", "left").withColumn("n_links", F.coalesce("links", zero) + F.col("copies") - 1)
+    by_key = Table(own.join(least.df, "label").select("key", "component_id", "n_links"), "class-components")
     out = rows.select("doc_id", "n_shingles", "key").join(by_key.df, "key", "left")
     found = F.when(F.col("key").isNull(), F.col("doc_id")).when(F.col("component_id") < last, F.col("component_id"))
-    return out.select("doc_id", "n_shingles", found.alias("component_id"))
+    return out.select("doc_id", "n_shingles", found.alias("component_id"), F.coalesce("n_links", zero).alias("n_links"))
 
 
-def labelled(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """doc_id, n_shingles, key, text_hash of every row; key, least id and label of every set, where linked sets share a label."""
+def labelled(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """doc_id, n_shingles, key, text_hash of every row; key, least id, copies and label of every set, where linked sets share
+    a label; key and links of the sets that link to others."""
     spark = docs.sparkSession
     small_batches(spark, 2000)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     levels = sketch_levels(own, n)
     rows = Table(signatures(own, levels, n, num, den), "signatures")
     last = F.lit((1 << 63) - 1)
-    rep = F.min(F.struct(F.coalesce("doc_id", last).alias("least"), "n_shingles", "prefix", "parity")).alias("r")
-    reps = Table(rows.df.filter("key is not null").groupBy("key").agg(rep).select("key", "r.*"), "classes")
-    edges = proposals(reps.df, num, den)
-    coarse = components(edges)
-    links = verified(own, reps.df, coarse.df, levels, n, num, den)
-    labels = components(links)
+    rep = F.min(F.struct(F.coalesce("doc_id", last).alias("least"), "text_hash", "n_shingles", "prefix", "parity")).alias("r")
+    reps = Table(rows.df.filter("key is not null").groupBy("key").agg(rep, F.count("*").alias("copies")).select("key", "copies", "r.*"), "classes")
+    coarse = components(proposals(reps.df, num, den))
+    found = verified(own, reps.df, coarse.df, levels, n, num, den)
+    labels = components(found.df.filter("b is not null").select("a", "b"))
+    counts = found.df.filter("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
     coarse.drop()
-    named = reps.df.select("key", "least").join(labels.df, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("label", "key").alias("label"))
-    return rows.df, named
+    named = reps.df.select("key", "least", "copies").join(labels.df, F.col("key") == F.col("node"), "left").select("key", "least", "copies", F.coalesce("label", "key").alias("label"))
+    return rows.df, named, counts
 
 
 def surplus(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, text_hash, kept: which rows of docs, by id and hash of the text, are not the only one to keep of their class. A
     class keeps one row: that of the least id (null after all others), then of the least text_hash. kept is true where
     that row is repeated, so that one of the repeats stays, and false for rows that all go."""
-    rows, named = labelled(docs, n, num, den)
+    rows, named, _ = labelled(docs, n, num, den)
     counted = rows.filter("key is not null").groupBy("key", "doc_id", "text_hash").agg(F.count("*").alias("copies"))
     own = Table(counted.join(named.select("key", "label"), "key").select("label", "doc_id", "text_hash", "copies"), "class-rows")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
@@ -436,66 +432,89 @@ def proposals(reps: DataFrame, num: int, den: int) -> DataFrame:
     return passed.unionByName(large).unionByName(small.groupBy("token").applyInArrow(forest, schema))
 
 
-def verified(docs: DataFrame, reps: DataFrame, coarse: DataFrame, levels: np.ndarray, n: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) between keys, enough of them for the components of all links."""
+def meetings(wanted: DataFrame, num: int, den: int, tasks: int) -> DataFrame:
+    """wanted (key, least, text_hash, copies, n_shingles, comp) with `meets`: the tasks (g1, g2) where the set is asked for,
+    and on which side of the tree."""
+    ratio = den / num * 1.0001  # linked sets are at most one band apart
+    sized = wanted.groupBy("comp").agg((F.sum("n_shingles") > SPLIT_GRAMS).alias("large"), F.sum("n_shingles").alias("grams"))
+    sized = Table(sized, "coarse-sizes")
+    total = sized.df.filter("not large").agg(F.sum("grams")).first()[0] or 0
+    bundles = max(tasks, -(-int(total) // BLOCK_GRAMS))
+    wanted = Table(wanted.join(sized.df.select("comp", "large"), "comp").withColumn("band", F.when(F.col("large"), F.floor(F.log(F.col("n_shingles").cast("double")) / float(np.log(ratio)))).otherwise(0).cast("long")), "banded")
+    blocks = F.greatest(F.least(F.ceil(F.sum("n_shingles") / SPLIT_GRAMS), F.lit(SPLITS)), F.ceil(F.sum("n_shingles") / BLOCK_GRAMS)).cast("long")
+    bands = Table(wanted.df.filter("large").groupBy("comp", "band").agg(blocks.alias("own")), "bands")
+    near = bands.df.alias("x")
+    for name, by in (("after", 1), ("ahead", -1)):
+        near = near.join(bands.df.select(F.col("comp").alias("c"), (F.col("band") - by).alias("b"), F.col("own").alias(name)), (F.col("comp") == F.col("c")) & (F.col("band") == F.col("b")), "left").drop("c", "b")
+    near = Table(near, "near-bands")
+    split = wanted.df.filter("large").join(near.df, ["comp", "band"]).withColumn("block", F.pmod(F.xxhash64("key"), "own"))
+    task = lambda band, kind, i, j: (((band * 2 + kind) * (1 << 20) + i) * (1 << 20) + j).cast("long")
+    meet = lambda g2, side: F.struct(g2.alias("g2"), side.cast("int").alias("side"))
+    i, band = F.col("block"), F.col("band")
+    each = lambda count, body: F.when(count > 0, F.transform(F.sequence(F.lit(0).cast("long"), count - 1), body)).otherwise(F.array().cast("array<struct<g2:long,side:int>>"))
+    inner = each(F.col("own"), lambda j: meet(task(band, F.lit(0), F.least(i, j), F.greatest(i, j)), F.when(i == j, 2).when(i < j, 0).otherwise(1)))
+    outer = each(F.coalesce("after", F.lit(0)), lambda j: meet(task(band, F.lit(1), i, j), F.lit(0)))
+    inward = each(F.coalesce("ahead", F.lit(0)), lambda j: meet(task(band - 1, F.lit(1), j, i), F.lit(1)))
+    columns = ["key", "least", "text_hash", "copies", "comp"]
+    split = split.select(*columns, F.col("comp").alias("g1"), F.concat(inner, outer, inward).alias("meets"))
+    whole = wanted.df.filter("not large").select(*columns, F.pmod(F.xxhash64("comp"), F.lit(bundles)).cast("long").alias("g1"), F.array(meet(F.lit(-1).cast("long"), F.lit(2))).alias("meets"))
+    return whole.unionByName(split)
+
+
+def verified(docs: DataFrame, reps: DataFrame, coarse: DataFrame, levels: np.ndarray, n: int, num: int, den: int) -> Table:
+    """Rows a, b: links between keys, enough of them for the components of all links; and rows a, links with no b: parts of
+    the number of links of a."""
     spark = docs.sparkSession
-    wanted = coarse.join(reps.select("key", "least", "n_shingles"), F.col("node") == F.col("key")).select("key", "least", "n_shingles", F.col("label").alias("comp"))
-    sizes = Table(wanted.groupBy("comp").agg(F.greatest(F.lit(1), F.ceil(F.sum("n_shingles") / BLOCK_GRAMS)).cast("int").alias("blocks")), "coarse-sizes")
-    wanted = Table(wanted.join(sizes.df, "comp").select("key", "least", "comp", "blocks", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block")), "wanted")
+    wanted = coarse.join(reps.select("key", "least", "text_hash", "copies", "n_shingles"), F.col("node") == F.col("key")).select("key", "least", "text_hash", "copies", "n_shingles", F.col("label").alias("comp"))
+    dealt = Table(meetings(wanted, num, den, int(spark.conf.get("spark.sql.shuffle.partitions"))), "meetings")
     runtime_filters(spark)
-    texts = docs.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("least"), "text").join(wanted.df.filter("blocks > 0"), "least")
+    texts = docs.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("least"), F.xxhash64("text").alias("text_hash"), "text").join(dealt.df.filter("size(meets) > 0"), ["least", "text_hash"])
+    meets = "array<struct<g2:long,side:int>>"
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = levels.astype(np.uint64)
+        """A set is put out once a task, however often its row is repeated; n-grams from the most frequent to the rarest."""
+        level, top, seen = levels.astype(np.uint64), np.uint64((1 << (HASH_BITS + 4)) - 1), set()
         for batch in batches:
             data, bounds = flat(batch.column(1))
             got, keys = [], []
             for a, b in _chunks(data, bounds):
                 sets, begin = ordered_sets(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], n, level)
-                got += [sets[begin[k] : begin[k + 1]].astype("<u8").tobytes() for k in range(len(begin) - 1)]
+                got += [(top - sets[begin[k] : begin[k + 1]][::-1]).astype("<u8").tobytes() for k in range(len(begin) - 1)]
                 keys.append(set_keys(sets, begin))
             if not keys:
                 continue
-            mine = pa.array(np.concatenate(keys) == batch.column(0).to_numpy(), pa.bool_())  # rows of one id may differ in text
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(got, pa.binary())], ["key", "comp", "block", "blocks", "grams"]).filter(mine)
-
-    found = texts.select("key", "text", "comp", "block", "blocks").mapInArrow(as_sets, "key long, comp long, block int, blocks int, grams binary")
+            mine = []  # texts whose hash is another's too are told apart by their sets
+            for own, key in zip(np.concatenate(keys).tolist(), batch.column(0).to_pylist()):
+                mine.append(own == key and key not in seen)
+                if mine[-1]:
+                    seen.add(key)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(got, pa.binary())], ["key", "copies", "comp", "g1", "meets", "grams"]).filter(pa.array(mine, pa.bool_()))
+
+    found = texts.select("key", "text", "copies", "comp", "g1", "meets").mapInArrow(as_sets, f"key long, copies long, comp long, g1 long, meets {meets}, grams binary")
     sets = Table(found, "sets")
-
-    def within(rows: pa.Table) -> pa.Table:
-        by_key = dict(zip(rows["key"].to_pylist(), rows["grams"].to_pylist()))
-        keys = sorted(by_key)
-        out = tree_links([np.frombuffer(by_key[k], dtype="<u8") for k in keys], keys, num, den)
-        return pa.table([pa.array([keys[p[k]] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-    first = Table(sets.df.select("key", "comp", "block", "grams").groupBy("comp", "block").applyInArrow(within, "a long, b long"), "links")
-    if not sizes.df.filter("blocks > 1").limit(1).count():
-        return first.df
-
-    def across(rows: pa.Table) -> pa.Table:
-        keys, labels, asked = (rows[c].to_pylist() for c in ("key", "label", "asked"))
-        grams_of = [np.frombuffer(x, dtype="<u8") for x in rows["grams"].to_pylist()]
-        out = tree_links(grams_of, labels, num, den, asked)
-        return pa.table([pa.array([keys[p[k]] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-    # one set of each class of each block first: alike blocks become one class here
-    schema, columns = "a long, b long", ["key", "label", "asked", "grams"]
-    large = sets.df.filter("blocks > 1")
-    links = first
-    labels = components(links.df)
-    joined = large.join(labels.df, F.col("key") == F.col("node"), "left").withColumn("label", F.coalesce("label", "key"))
-    roots = joined.filter("key = label").withColumn("asked", F.lit(True)).withColumn("share", F.expr("pmod(xxhash64(key, 1), greatest(1, cast(blocks / 64 as int)))"))
-    second = Table(links.df.unionByName(roots.groupBy("comp", "share").applyInArrow(lambda t: across(t.select(columns)), schema)), "links")
-    labels = components(second.df)
-    joined = Table(large.join(labels.df, F.col("key") == F.col("node"), "left").withColumn("label", F.coalesce("label", "key")), "labelled")
-    counts = joined.df.groupBy("comp", "label").count()
-    main = Table(counts.groupBy("comp").agg(F.max(F.struct("count", "label")).alias("top"), F.sum("count").alias("all")).filter("top.count < all").select("comp", F.col("top.label").alias("main"), F.expr("cast(ceil((all - top.count) / 2000.0) as int)").alias("shares")), "main-classes")
-    rest = joined.df.join(main.df, "comp")  # groups that are one class by now are done
-    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    queries = rest.filter("label <> main").select("comp", "key", "label", "grams", F.lit(True).alias("asked"), F.expr("cast(pmod(xxhash64(key, 2), shares) as int)").alias("share"), every("blocks").alias("block"))
-    others = rest.select("comp", "key", "label", "grams", F.lit(False).alias("asked"), every("shares").alias("share"), "block")
-    last = queries.unionByName(others).groupBy("comp", "share", "block").applyInArrow(lambda t: across(t.select(columns)), schema)
-    return Table(second.df.unionByName(last), "links").df
+    dealt.drop()
+    spread = sets.df.select("key", "copies", "comp", "g1", F.explode("meets").alias("m"), "grams").select("key", "copies", "comp", "g1", "m.g2", "m.side", "grams")
+
+    def linked(rows: pa.Table) -> pa.Table:
+        """The groups of a task, one after the other."""
+        key, comp, copies, side = (rows[c].to_numpy() for c in ("key", "comp", "copies", "side"))
+        grams_of = rows["grams"].combine_chunks()
+        order = np.lexsort((key, comp))
+        order = order[np.concatenate([[True], key[order][1:] != key[order][:-1]])] if len(order) else order  # texts of one set
+        cut = np.flatnonzero(np.concatenate([[True], comp[order][1:] != comp[order][:-1], [True]])) if len(order) else [0]
+        out: list[list] = [[], [], []]
+        for i, j in zip(cut[:-1], cut[1:]):
+            own = order[i:j]
+            forest, links = tree_join([np.frombuffer(grams_of[int(k)].as_py(), dtype="<u8") for k in own], copies[own], side[own], num, den)
+            some = np.flatnonzero(links)
+            out[0] += [key[own[a]] for a, _ in forest] + key[own[some]].tolist()
+            out[1] += [key[own[b]] for _, b in forest] + [None] * len(some)
+            out[2] += [None] * len(forest) + links[some].tolist()
+        return pa.table([pa.array(c, pa.int64()) for c in out], names=["a", "b", "links"])
+
+    out = Table(spread.groupBy("g1", "g2").applyInArrow(linked, "a long, b long, links long"), "links")
+    sets.drop()
+    return out
 
 
 ORACLE_SQL = """
@@ -516,6 +535,8 @@ e AS MATERIALIZED (
 ),
 both_ways AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach(k, r) AS (SELECT k, k FROM d UNION SELECT reach.k, b FROM reach JOIN both_ways ON a = r)
-SELECT d.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(o.doc_id) AS component_id
-FROM d LEFT JOIN n USING (k) JOIN reach USING (k) JOIN d o ON o.k = reach.r GROUP BY d.k, d.doc_id
+SELECT d.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(o.doc_id) AS component_id,
+  CAST(coalesce(any_value(l.n_links), 0) AS BIGINT) AS n_links
+FROM d LEFT JOIN n USING (k) LEFT JOIN (SELECT a AS k, count(*) AS n_links FROM both_ways GROUP BY a) l USING (k)
+JOIN reach USING (k) JOIN d o ON o.k = reach.r GROUP BY d.k, d.doc_id
 """

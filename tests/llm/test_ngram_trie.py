@@ -21,14 +21,17 @@ def brute(rows, n, num, den):
             x = up[x]
         return x
 
+    links = [0] * len(rows)
     for i in range(len(rows)):
         for j in range(i):
             if sets[i] and sets[j] and den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]):
                 up[find(i)] = find(j)
+                links[i] += 1
+                links[j] += 1
     out = []
     for i, (doc_id, _) in enumerate(rows):
         ids = [rows[j][0] for j in range(len(rows)) if find(j) == find(i) and rows[j][0] is not None]
-        out.append((doc_id, len(sets[i]), min(ids) if ids and sets[i] else doc_id))
+        out.append((doc_id, len(sets[i]), min(ids) if ids and sets[i] else doc_id, links[i]))
     return sorted(map(repr, out))
 
 
@@ -77,7 +80,9 @@ def test_empty_table_and_long_text(make_docs):
     assert got == sorted(eval(x) for x in brute(rows, 3, 90, 100))
 
 
-def test_trees_find_all_classes():
+@pytest.mark.parametrize("cells", [8 << 20, 300])
+def test_trees_find_all_links(monkeypatch, cells):
+    monkeypatch.setattr(ngram_trie, "CELLS", cells)
     rng = np.random.default_rng(3)
     for _ in range(30):
         base = [np.unique(rng.integers(0, 1 << 40, rng.integers(1, 60)).astype(np.uint64)) for _ in range(6)]
@@ -87,19 +92,22 @@ def test_trees_find_all_classes():
                 own = b.copy()
                 own[rng.integers(0, len(own), max(1, len(own) // 15))] = rng.integers(0, 1 << 40, max(1, len(own) // 15)).astype(np.uint64)
                 sets.append(np.unique(own))
+        copies = rng.integers(1, 5, len(sets))
         links = lambda i, j: 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))
-        labels = list(range(len(sets)))
-        asked = [bool(x) for x in rng.integers(0, 2, len(sets))]
-        for ask in (None, asked):
-            want, got = ngram_trie.Classes(len(sets)), ngram_trie.Classes(len(sets))
+        for sides in (np.full(len(sets), 2), rng.integers(0, 2, len(sets))):
+            up, count = list(range(len(sets))), np.zeros(len(sets), dtype=int)
             for i in range(len(sets)):
-                for j in range(i):
-                    if (ask is None or ask[i] or ask[j]) and links(i, j):
-                        want.join(i, j)
-            for i, j in ngram_trie.tree_links(sets, labels, 85, 100, ask):
-                assert want.find(i) == want.find(j)
-                got.join(i, j)
-            assert [got.find(i) for i in range(len(sets))] == [want.find(i) for i in range(len(sets))]
+                for j in range(len(sets)):
+                    if i != j and (sides[0] == 2 or sides[i] != sides[j]) and links(i, j):
+                        count[i] += copies[j]
+                        up = [min(up[i], up[j]) if x in (up[i], up[j]) else x for x in up]
+            forest, got = ngram_trie.tree_join(sets, copies, sides, 85, 100)
+            assert got.tolist() == count.tolist()
+            own = list(range(len(sets)))
+            for i, j in forest:
+                assert own[i] != own[j] and links(i, j)
+                own = [min(own[i], own[j]) if x in (own[i], own[j]) else x for x in own]
+            assert own == up
 
 
 def test_components(spark):
@@ -114,3 +122,15 @@ def test_components(spark):
             label[a] = label[b] = min(label[a], label[b])
     assert got == {k: v for k, v in label.items() if any(k in e and e[0] != e[1] for e in edges)}
     assert components.components(spark.createDataFrame([], "a long, b long")).df.count() == 0
+
+
+def test_many_rows_without_ids(make_docs):
+    rng = random.Random(9)
+    pairs = []
+    for _ in range(2500):
+        words = prose(rng, n=40).split()
+        pairs += [(None, " ".join(words)), (None, " ".join([*words, "end"]))]
+    rows = pairs * 2
+    got = ngram_trie.near_classes(make_docs(rows), 3, 90, 100).collect()
+    assert len(got) == 10_000 and all(r.component_id is None for r in got)
+    assert {r.n_links for r in got} == {3}  # its own copy, and both of the longer or shorter text
