@@ -113,7 +113,8 @@ _DOT = re.compile(rf"{_OPEN}(?:dot|\.|punkt|punto|point){_CLOSE}", re.IGNORECASE
 _BARE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:[ ]++at[ ]++|@)[A-Za-z0-9-]+(?:(?:[ ]+dot[ ]+|\.)[A-Za-z0-9-]+)*[ ]+dot[ ]+[A-Za-z]{2,}|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:[ ]++at[ ]++)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?:com|net|org|edu|gov|io|co|de|fr|es|uk|eu|info)\b", re.IGNORECASE)
 _BARE_DOT = re.compile(r"[ ]+dot[ ]+", re.IGNORECASE)
 _BARE_AT = re.compile(r"[ ]+at[ ]+", re.IGNORECASE)
-_IP_DOT = re.compile(r"(?<![0-9])[0-9]{1,3}(?:[ ]*(?:dot|\[\.\]|\(\.\)|\[dot\]|\(dot\))[ ]*[0-9]{1,3}){3}(?![0-9])", re.IGNORECASE)
+_IP_SIGN = re.compile(r"[ ]*(?:dot|\[\.\]|\(\.\)|\[dot\]|\(dot\))[ ]*", re.IGNORECASE)
+_IP_DOT = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:{_IP_SIGN.pattern}[0-9]{{1,3}}){{3}}(?![0-9])", re.IGNORECASE)
 # what the patterns above can't match without, and dear ones are spared by: a bracketed sign, " at " before a known end
 _BRACKETED = re.compile(r"[\[({<][ ]*+(?:at|@|arroba|arobase|ät|dot|\.|punkt|punto|point)[ ]*+[\])}>]", re.IGNORECASE)
 _END = re.compile(r"\.(?:com|net|org|edu|gov|io|co|de|fr|es|uk|eu|info)\b", re.IGNORECASE)
@@ -163,12 +164,13 @@ def rewritten(text: str) -> Rewritten | None:
     if not text.isascii() and _ODD.search(text):
         out.replace([(m.start(), m.end(), _LETTERS.get(m[0], "")) for m in _ODD.finditer(text)])
     low = out.text.lower()
+    if "dot" in low:  # addresses in digits first: a list of them is no run of digits
+        out.replace([(x.start(), x.end(), ".") for m in _IP_DOT.finditer(out.text) for x in _IP_SIGN.finditer(out.text, m.start(), m.end())])
     out.replace([e for m in _RUN.finditer(out.text) if any(c.isalpha() for c in m[0]) for e in _spelled_run(m)])
     if "dot" in low or " at " in low and _END.search(out.text) or _BRACKETED.search(out.text):
         out.replace([(m.start(), m.end(), "@") for m in _AT.finditer(out.text)])
         out.replace([(m.start(), m.end(), ".") for m in _DOT.finditer(out.text)])
         bare = [(x.start(), x.end(), new) for m in _BARE.finditer(out.text) for p, new in ((_BARE_AT, "@"), (_BARE_DOT, ".")) for x in p.finditer(out.text, m.start(), m.end())]
-        bare += [(x.start(), x.end(), ".") for m in _IP_DOT.finditer(out.text) for x in re.finditer(r"[ ]*(?:dot|\[\.\]|\(\.\)|\[dot\]|\(dot\))[ ]*", m.string[: m.end()]) if x.start() >= m.start()] if "dot" in low else []
         apart, last = [], 0
         for s, e, new in sorted(set(bare)):
             if s >= last:
@@ -185,11 +187,19 @@ def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     if other is None:
         return base, base
     found = sorted((k, other.start[s], other.end[e - 1]) for k, s, e in plain_spans(other.text))
-    every, own = list(base), {k: [x for x in base if x[0] == k] for k in range(4)}
+    # both lists are in order: a span lies within another of its kind if one that starts no later ends no sooner
+    every, i, reach, of = list(base), 0, -1, -1
     for k, s, e in found:
-        if not any(a <= s and e <= b for _, a, b in own[k]):
+        if k != of:
+            of, reach = k, -1
+            while i < len(base) and base[i][0] < k:
+                i += 1
+        while i < len(base) and base[i][0] == k and base[i][1] <= s:
+            reach = max(reach, base[i][2])
+            i += 1
+        if reach < e:
             every.append((k, s, e))
-            own[k].append((k, s, e))
+            reach = e
     return base, sorted(every)
 
 
