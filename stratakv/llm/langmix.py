@@ -4,24 +4,28 @@ Each language is a distribution over hashed byte trigrams (letters lower-cased,
 one separator). A text's trigrams come from a mixture of the languages; expectation-maximisation finds the proportions.
 Which languages are in the mixture at all is settled by penalised likelihood: for k = 1, 2, ... the k languages of the
 largest proportions are fitted anew, and each language beyond the first must raise the log-likelihood by more than
-`PENALTY` * ln(number of trigrams). The prediction is the largest proportion of the chosen set.
+`PENALTY` * ln(number of trigrams). A set is left out unfitted only where it can't win: no mixture beats the full fit by
+more than the full fit's duality gap. The prediction is the largest proportion of the chosen set; the set and its
+proportions are further columns, the largest first.
 
 Bounds: at most `max_rows` labelled texts a language and `max_total` in all, of at most `max_chars` characters, reach the
-driver, the first by a hash of the id. Every row's whole text is predicted. Language, source and id are never inputs.
+driver: those whose hash of the id falls below a share of all that a count of the language's rows gives. Every row's
+whole text is predicted. Language, source and id are never inputs.
 
-Defined cases: a null text and a text without a letter are `und` with score 0, and so is every text if nothing was
-learned; null languages and ids teach nothing; ties go to the language that sorts first; repeated rows are predicted
-each; an empty table gives no rows; other columns are not read.
+Defined cases: a null text and a text without a letter (of a letter category of Unicode) are `und` with score 0 and no
+languages, and so is every text if nothing was learned; null languages and ids teach nothing; ties go to the language
+that sorts first; repeated rows are predicted each, and teach once; an empty table gives no rows; other columns are not
+read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality_zstd import hash_order
@@ -33,9 +37,12 @@ PENALTY = 4.0
 ROUNDS = 8
 CHUNK = 1 << 20
 
-PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
+SAMPLE_STEPS = 1 << 30  # of the hash that samples
+BROADCAST_LANGS = 50_000
 
-LETTER = re.compile(r"[^\W\d_]")
+PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double, languages array<string>, proportions array<double>"
+
+LETTER = regex.compile(r"\p{L}")
 _CODE = np.arange(256, dtype=np.uint32)
 _CODE[:128] = 0
 _CODE[97:123] = np.arange(1, 27)
@@ -63,11 +70,17 @@ def learn(docs: DataFrame, teaches, max_rows: int = 1000, max_total: int = 20_00
     """Languages in order of their names, and the probability of each bucket in each."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     own = own.filter(teaches(F.col("doc_id")) & F.col("lang").isNotNull() & F.length("text").between(3, max_chars))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = own.select("doc_id", "lang").withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= max_rows)
-    picked = picked.orderBy("nth", "lang").limit(max_total).drop("nth")
-    rows = own.join(F.broadcast(picked), ["doc_id", "lang"]).collect()  # at most max_total ids are broadcast
+    seen = own.groupBy("lang").count().collect()  # a row a language
+    if not seen:
+        return [], np.zeros((BUCKETS, 0))
+    quota = max(1, min(max_rows, max_total // len(seen)))
+    below = own.sparkSession.createDataFrame([(r["lang"], -(-SAMPLE_STEPS * quota // r["count"])) for r in seen], "lang string, below long")
+    below = F.broadcast(below) if len(seen) <= BROADCAST_LANGS else below  # its size is known here
+    drawn = own.join(below, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE_STEPS)) < F.col("below")).select("doc_id", "lang", "text")
+    rows = drawn.distinct().limit(2 * max_total).collect()  # the share is drawn to give quota rows, give or take its root
     rows.sort(key=lambda r: (r["lang"], hash_order(r["doc_id"]), r["text"]))
+    nth: dict[str, int] = {}
+    rows = [r for r in rows if (nth.update({r["lang"]: nth.get(r["lang"], 0) + 1}) or nth[r["lang"]]) <= quota]
     langs = sorted({r["lang"] for r in rows})
     table = np.zeros((BUCKETS, len(langs)))
     for k, lang in enumerate(langs):
@@ -89,23 +102,28 @@ def fit(weight: np.ndarray, p: np.ndarray, start: np.ndarray, first: np.ndarray,
     return share, np.add.reduceat(weight * np.log((share[start] * p).sum(axis=1)), first)
 
 
-def infer(table: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Language and score of each text with at least one trigram; p: bucket by language."""
+def infer(table: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score and proportions (-1 outside the chosen set) of each text with at least one trigram; p: bucket by
+    language."""
     text, bucket = np.nonzero(table)
     weight = table[text, bucket].astype(float)
     first = np.searchsorted(text, np.arange(len(table)))
     total = np.add.reduceat(weight, first)
     of = p[bucket]
     single = np.add.reduceat(weight[:, None] * np.log(of), first, axis=0)
-    share, _ = fit(weight, of, text, first, total)
+    share, full = fit(weight, of, text, first, total)
+    mixed = (share[text] * of).sum(axis=1)
+    gain = np.add.reduceat(of * (weight / mixed)[:, None], first, axis=0) / total[:, None]
+    most = full + total * np.log(np.maximum(gain.max(axis=1), 1.0))  # of any mixture
     order = np.argsort(-share, axis=1, kind="stable")
     best = np.argmax(single, axis=1)
     value = single[np.arange(len(best)), best]
-    apart = np.exp(single - value[:, None])
-    score = 1 / apart.sum(axis=1)
+    score = 1 / np.exp(single - value[:, None]).sum(axis=1)
+    chosen = np.full(share.shape, -1.0)
+    chosen[np.arange(len(best)), best] = 1.0
     for k in range(2, p.shape[1] + 1):
-        # a k-th language of a tiny share can't repay its penalty
-        worth = np.nonzero(share[np.arange(len(share)), order[:, k - 1]] > 0.02)[0]
+        penalty = PENALTY * (k - 1) * np.log(total + 1)
+        worth = np.nonzero(most - penalty > value)[0]
         if not len(worth):
             break
         mine = np.isin(text, worth)
@@ -113,25 +131,27 @@ def infer(table: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         held = order[worth, :k]
         begin = np.searchsorted(local, np.arange(len(worth)))
         shares, like = fit(weight[mine], np.take_along_axis(of[mine], held[local], axis=1), local, begin, total[worth])
-        like -= PENALTY * (k - 1) * np.log(total[worth] + 1)
+        like -= penalty[worth]
         better = like > value[worth]
         now = worth[better]
         value[now] = like[better]
         top = np.argmax(shares[better], axis=1)
         best[now] = held[better][np.arange(len(now)), top]
         score[now] = shares[better][np.arange(len(now)), top]
-    return best, score
+        chosen[now] = -1.0
+        chosen[now[:, None], held[better]] = shares[better]
+    return best, score, chosen
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], held_out) -> DataFrame:
-    """lang_pred and score of every text."""
+    """lang_pred, score, and the chosen languages with their proportions, of every text."""
     langs, p = model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = flat(batch.column(2))
             n = len(bounds) - 1
-            named, score = np.full(n, -1), np.zeros(n)
+            named, score, chosen = np.full(n, -1), np.zeros(n), np.full((n, len(langs)), -1.0)
             letters = np.fromiter((bool(t) and LETTER.search(t) is not None for t in batch.column(2).to_pylist()), bool, n)
             if langs:
                 for i, j in runs(bounds, CHUNK):
@@ -139,12 +159,16 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], held_out) -> D
                         b = min(j, a + 400)
                         part = counts(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
                         some = np.nonzero(part.any(axis=1))[0]
-                        named[a:b], score[a:b] = 0, 1 / len(langs)
+                        named[a:b], score[a:b], chosen[a:b] = 0, 1 / len(langs), 1 / len(langs)
                         if len(some):
-                            named[a + some], score[a + some] = infer(part[some], p)
-            named[~letters], score[~letters] = -1, 0.0
+                            named[a + some], score[a + some], chosen[a + some] = infer(part[some], p)
+            named[~letters], score[~letters], chosen[~letters] = -1, 0.0, -1.0
             pred = [langs[k] if k >= 0 else "und" for k in named.tolist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pred, pa.string()), pa.array(score)], [c.split()[0] for c in PREDICTED.split(", ")])
+            ranked = np.argsort(-chosen, axis=1, kind="stable")
+            parts = [[k for k in own if row[k] >= 0] for own, row in zip(ranked.tolist(), chosen.tolist())]
+            sets = pa.array([[langs[k] for k in own] for own in parts], pa.list_(pa.string()))
+            shares = pa.array([[row[k] for k in own] for own, row in zip(parts, chosen.tolist())], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pred, pa.string()), pa.array(score), sets, shares], [c.split()[0] for c in PREDICTED.split(", ")])
 
     small_batches(docs.sparkSession, 2000)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -42,5 +42,20 @@ def test_more_languages_cost_likelihood():
     import numpy as np
 
     p = np.array([[0.7, 0.1], [0.1, 0.7], [0.2, 0.2]])
-    best, score = langmix.infer(np.array([[50, 7, 14], [300, 200, 100], [7, 50, 14]]), p)
+    best, score, chosen = langmix.infer(np.array([[50, 7, 14], [300, 200, 100], [7, 50, 14]]), p)
     assert best.tolist() == [0, 0, 1] and score[0] > 0.99 and 0.5 < score[1] < 0.9
+    assert (chosen[0] == [1, -1]).all() and (chosen[1] > 0).all() and abs(chosen[1].sum() - 1) < 1e-9 and chosen[1].argmax() == 0
+
+
+def test_letters_sets_and_repeats(make_docs):
+    rng = random.Random(3)
+    rows = [(100 + k, prose(rng, lang, 60), lang) for k in range(90) for lang in [("en", "fr", "de")[k % 3]]] + [(90, "the same row", "en")] * 200
+    model = langmix.learn(make_docs(rows), lambda i: F.lit(True), max_rows=20)
+    rows = [(1, "½", None), (2, "²²", None), (3, "Ⅷ", None), (4, "½ é", None), (5, prose(rng, "fr", 300) + " " + prose(rng, "de", 150), None), (6, prose(rng, "en", 100), None)]
+    rows.append((7, prose(rng, "fr", 20_000) + " " + prose(rng, "de", 300), None))  # 1.5 percent of a long text
+    by_id = {r.doc_id: r for r in langmix.predict(make_docs(rows), model, lambda i: F.lit(False)).collect()}
+    assert [by_id[k].lang_pred for k in (1, 2, 3)] == ["und"] * 3 and by_id[4].lang_pred != "und" and by_id[1].languages == []
+    assert by_id[5].languages == ["fr", "de"] and by_id[6].languages == ["en"] and by_id[6].proportions == [1.0]
+    assert set(by_id[7].languages) >= {"fr", "de"} and by_id[7].languages[0] == "fr"
+    for r in by_id.values():
+        assert len(r.languages) == len(r.proportions) and r.proportions == sorted(r.proportions, reverse=True) and (not r.languages or abs(sum(r.proportions) - 1) < 1e-6)
