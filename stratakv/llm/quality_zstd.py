@@ -5,8 +5,8 @@ Two zstandard dictionaries are built from good and from bad labelled text. Every
 with either. The difference of the two sums over the text's own size, (bad - good) / (size + SMOOTH), is the one feature;
 logistic regression on labelled rows that neither dictionary has seen turns it into a probability.
 
-Bounds: at most `max_rows` labelled rows of each class, of at most `max_chars` characters each, reach the driver; the
-first of them by a hash of the id. Scoring reads every row. Labels, languages, sources and ids are never inputs.
+Bounds: at most `max_rows` labelled rows of each class reach the driver, of those with at most `max_chars` characters the
+first by a hash of the id. Scoring reads every row. Labels, languages, sources and ids are never inputs.
 
 Defined cases: a null text counts as empty, and an empty text's feature is 0; null labels, other labels than 0 and 1 and
 null ids teach nothing; with no labelled row every score is 0.5, with one class the score leans to that class by Laplace's
@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workdir import small_batches
+from .workdir import prepare
 
 BLOCK = 256
 SMOOTH = 64
@@ -95,11 +95,13 @@ def train(docs: DataFrame, labels: DataFrame, teaches, max_rows: int = 2000, max
     """Learns from rows of `labels` for which the column teaches(doc_id) is true, joined with their texts."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     own = own.filter(teaches(F.col("doc_id")) & F.col("quality").isin(0, 1))
-    picked, other = (own.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows) for q in (0, 1))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.length("text").between(1, max_chars))
+    able = own.distinct().join(texts.select("doc_id").distinct(), "doc_id")  # ids with a text that may teach
+    picked, other = (able.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows) for q in (0, 1))
     picked = picked.unionByName(other)
     prior = {r["quality"]: r["count"] for r in own.groupBy("quality").count().collect()}
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.length("text").between(1, max_chars))
-    rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "quality").collect()  # at most 2 * max_rows ids are broadcast
+    # at most 2 * max_rows ids are broadcast; of an id's texts the least teaches
+    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (r["quality"], hash_order(r["doc_id"]), r["text"]))
     by = {q: [r["text"] for r in rows if r["quality"] == q] for q in (0, 1)}
     if not by[0] or not by[1]:
@@ -145,7 +147,7 @@ def score(docs: DataFrame, model: QualityModel, held_out, cut: float = CUT) -> D
             p = score_of(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= cut).astype(np.int32))], [c.split()[0] for c in SCORED.split(", ")])
 
-    small_batches(docs.sparkSession, 2000)
+    prepare(docs.sparkSession)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return ids.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "text").mapInArrow(run, SCORED)
 
@@ -158,7 +160,7 @@ def accepted(docs: DataFrame, model: QualityModel, cut: float = CUT) -> DataFram
         for batch in batches:
             yield batch.filter(pa.array(score_of(batch.column(at).to_pylist()) >= cut))
 
-    small_batches(docs.sparkSession, 2000)
+    prepare(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 

@@ -54,3 +54,13 @@ def test_whole_texts_count(data):
     start = prose(rng, n=2000)
     a, b = q.features([start + prose(rng, n=4000), start + " ".join(["SHOUT!!"] * 4000)], good, bad)
     assert a > b
+
+
+def test_long_texts_and_repeats_take_no_place_from_those_that_teach(spark, make_docs):
+    rng = random.Random(7)
+    rows = [(k, prose(rng, n=4000)) for k in range(200)] + [(1000 + i, junk(rng) if i % 2 else prose(rng)) for i in range(120)] + [(500, prose(rng))] * 300
+    labels = spark.createDataFrame([(r[0], int(r[0] % 2 == 0), 0) for r in rows], "doc_id long, quality int, toxic int")
+    model = q.train(make_docs(rows), labels, lambda i: F.lit(True), max_rows=40)
+    assert model.good and model.bad and model.slope > 0
+    out = {r.doc_id: r.predicted for r in q.score(make_docs(rows), model, lambda i: F.lit(False)).collect()}
+    assert sum(out[1000 + i] == (i + 1) % 2 for i in range(120)) >= 100
