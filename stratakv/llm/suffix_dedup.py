@@ -9,8 +9,9 @@ Sorting every suffix of a corpus would move it many times over, so first the suf
    strings have equal anchors at equal places, so a string whose anchor occurs once in the corpus is unique. An anchor
    is written once for the run of strings that share it, about one for every 75 bytes, with a hash of the bytes that the
    run covers.
-2. Anchors that occur once leave. Where all occurrences of an anchor have equal surroundings, all their strings repeat.
-   What is left are anchors with unlike surroundings, around the ends of repeats; of equal surroundings one stands for all.
+2. Anchors that occur once leave. Where all occurrences of an anchor have equal surroundings, all their strings repeat:
+   these are settled before the sort, by a 64-bit hash of the surroundings (29 % of the occurrences of repeated anchors in
+   the 0.1 tables), and so are surroundings met twice of the other anchors. What is left are anchors with unlike surroundings, around the ends of repeats; of equal surroundings one stands for all.
 3. Sampled splitters over the leading tokens of the anchors' suffixes deal those surroundings into buckets, so that all
    of an anchor's stand together. In a bucket the suffixes that start in them are sorted by three-way multikey quicksort
    on their tokens (the first eight bytes, then a hash of the whole string), and neighbours are compared. Anchors at the
@@ -18,7 +19,8 @@ Sorting every suffix of a corpus would move it many times over, so first the suf
    equal ones of a bucket as one, are ranged once more, by sampled splitters over the suffixes' own tokens.
 4. Repeats go back to all places with those surroundings, and from there to their texts.
 
-Rows are known by a hash of id and text, so a null id or a repeated row is nothing special.
+Rows are known by a 64-bit hash of id and text, so a null id or a repeated row is nothing special: of equal rows one span
+goes on. Of 10^9 different rows two share a hash with a chance of 3 %; such rows would take each other's spans.
 
 Defined cases: a null text is empty and stays null in deduplicated(); texts shorter than `length` keep all bytes; two
 equal rows are two places; an empty table gives no rows; other columns are kept by deduplicated() and not read by
@@ -36,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .textbytes import flat, mix, prefix_hashes, runs, slice_hashes
-from .workdir import Table, runtime_filters, small_batches
+from .workdir import Table, prepare
 
 LENGTH = 200
 GRAM = 48
@@ -354,8 +356,7 @@ def range_repeats(packs: DataFrame, words: int) -> DataFrame:
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Table:
     """row_key and spans (array of start and end, in bytes) of the texts that hold repeats. docs: row_key, text."""
     spark = docs.sparkSession
-    small_batches(spark, 2000)
-    runtime_filters(spark)
+    prepare(spark)
     every = Table(anchor_rows(docs, length, gram), "anchors")
     met = every.df.groupBy("gram").agg(F.count("*").alias("n"), (F.min("around") == F.max("around")).alias("alike")).filter("n > 1").select("gram", "alike")
     met = Table(met, "repeated-anchors")
@@ -403,7 +404,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Table:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["row_key", "start", "end"])
 
     runs_of = whole.unionByName(some).mapInArrow(spans, "row_key long, start long, end long")
-    out = Table(runs_of.groupBy("row_key").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
+    out = Table(runs_of.distinct().groupBy("row_key").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
     for t in (hits, classes, open_ones, marks, around_of, near, judged):
         t.drop()
     return out

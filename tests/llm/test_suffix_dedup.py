@@ -132,3 +132,13 @@ def test_deduplicated_texts(make_docs):
     assert sorted(repr((r.doc_id, r.text)) for r in got) == sorted(map(repr, want))
     assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in got)
     assert sd.deduplicated(make_docs([])).count() == 0 and sd.digests(make_docs([])).count() == 0
+
+
+def test_equal_rows_give_their_spans_once(make_docs):
+    text = prose(random.Random(8), n=400)
+    docs = make_docs([(1, text)] * 300 + [(None, text)] * 300)
+    own = docs.select(sd.row_key().alias("row_key"), "text")
+    spans = sd.repeats(own).df.collect()
+    assert len(spans) == 2 and all(len(r.spans) <= len(text) for r in spans)
+    got = sd.digests(docs).collect()
+    assert len(got) == 600 and {r.n_removed for r in got} == {len(text.encode())}
