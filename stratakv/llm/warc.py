@@ -8,7 +8,9 @@ as the archive formats' `sl` subfield does, so members are stepped over as well.
 their end.
 
 Writing: each task attempt writes files of its own name; commit lists the files of the attempts that count in `_files`,
-and readers of a folder with such a list read only those. A lost or repeated task leaves no record twice.
+and readers of a folder with such a list read only those. A lost or repeated task leaves no record twice. Files are opened
+by pyarrow's file systems, in the tasks too: local or mounted paths, s3 (s3a and s3n are taken for it), gs, abfs, and hdfs
+where its library is installed on the workers.
 
 write_pages() stores each distinct payload once: of the rows with equal payloads of at least `min_bytes`, that with the
 largest id is a `response`, the others are `revisit` records that refer to it.
@@ -33,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, StringStartsWith, WriterCommitMessage
 
-from .workdir import Table, new_folder, small_batches
+from .workdir import Table, new_folder, prepare
 
 READ = "page_id long, record_type string, record_id string, target_uri string, warc_date string, payload_digest string, payload_length long, refers_to string, refers_to_page long, payload binary"
 WRITTEN = "page_id long, url string, payload binary, digest string, refers_to long"
@@ -44,6 +46,8 @@ DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Header of each column that predicates can be pushed to.
 HEADERS = {"record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to"}
+#: Names that Hadoop gives to stores which pyarrow knows by another.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
 _EXTRA = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff"
 
 
@@ -53,7 +57,10 @@ def file_system(path: str):
 
     if path.startswith("file:"):
         path = "/" + path[5:].lstrip("/")
-    return (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
+    if path.startswith("/"):
+        return fs.LocalFileSystem(), path
+    scheme, rest = path.split(":", 1)
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
 
 
 def member(block: bytes, level: int = 1) -> bytes:
@@ -330,7 +337,7 @@ class WarcDataSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    prepare(spark)
     spark.dataSource.register(WarcDataSource)
 
 
@@ -345,7 +352,6 @@ def write_pages(pages: DataFrame, path: str, min_bytes: int = 0, broadcast_rows:
     """Archives page_id, url and html; equal payloads of at least min_bytes are stored once."""
     spark = pages.sparkSession
     register(spark)
-    small_batches(spark, 1000)
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     own = own.withColumn("digest", base32_sha1(F.col("payload")))
     large = own.filter(F.octet_length("payload") >= min_bytes) if min_bytes else own
@@ -364,12 +370,17 @@ def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Archives the pages and reads them back: responses with payloads, whose length and digest are taken anew, and
+    """Archives the pages and reads them back, once: responses with payloads, whose length and digest are taken anew, and
     revisits by their headers alone."""
     spark = pages.sparkSession
     path = new_folder(spark, "warc")
     write_pages(pages, path, min_bytes)
-    full = read(spark, path).filter(F.col("record_type") == "response")
-    full = full.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
-    thin = read(spark, path, payload=False).filter(F.col("record_type") == "revisit")
-    return full.unionByName(thin.select("page_id", F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", F.col("refers_to_page").alias("refers_to")))
+    both = read(spark, path).filter(F.col("record_type").isin("response", "revisit"))
+    here = F.col("record_type") == "response"
+    return both.select(
+        "page_id",
+        F.when(here, F.octet_length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
+        F.when(here, base32_sha1(F.col("payload"))).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type",
+        F.when(~here, F.col("refers_to_page")).alias("refers_to"),
+    )
