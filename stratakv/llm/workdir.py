@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset (tests, one machine) a new temporary one."""
+    """The folder named by spark.checkpoint.dir. Only where that is unset and driver and executors are one machine (tests) a
+    new temporary one; on a cluster the executors' files would be lost there, so that raises."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="stratakv-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
@@ -42,14 +45,27 @@ class Table:
         drop_folder(self.spark, self.path)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000, mb: int = 16) -> None:
-    """Bounds what Arrow hands to a Python worker at once, whatever the length of the texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
+def clear(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this application: for the end of a job, as results that weren't written yet may
+    read them."""
+    drop_folder(spark, f"{shared_root(spark)}/{spark.sparkContext.applicationId}")
 
 
-def runtime_filters(spark: SparkSession) -> None:
-    """Lets Spark drop texts that a join won't need before it moves them, by its own Bloom filters of bounded size."""
-    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.enabled", "true")
-    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
-    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", "1g")
+#: What all operators ask of a session. It is one set, so a plan that runs late finds what it was made for.
+SETTINGS = {
+    # bounds what Arrow hands to a Python worker at once, whatever the length of the texts
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+    # lets Spark drop texts that a join won't need before it moves them, by its own Bloom filters of bounded size
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g",
+    "spark.sql.python.filterPushdown.enabled": "true",
+}
+
+
+def prepare(spark: SparkSession) -> None:
+    """Sets SETTINGS for the session; they stay, since the operators' results are run by the caller."""
+    for name, value in SETTINGS.items():
+        if spark.conf.get(name, None) != value:
+            spark.conf.set(name, value)
