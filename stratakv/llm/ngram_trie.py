@@ -38,16 +38,16 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .textbytes import flat, mix, prefix_hashes, runs, slice_hashes
-from .workdir import Table, runtime_filters, small_batches
+from .workdir import Scratch, Table, prepare
 
 CHUNK = 1 << 18  # bytes hashed at a time, at about 60 bytes of memory each
 SKETCH_BITS = 20
 PIECE = 1 << 12  # sketch counters a row
 HASH_BITS = 50
 GROUP = 1000
-BLOCK_GRAMS = 500_000  # of a task's block at most
-SPLIT_GRAMS = 64_000  # groups beyond are split
-SPLITS = 8  # into so many blocks, and more only where BLOCK_GRAMS asks for it
+BLOCK_GRAMS, BLOCK_SETS = 500_000, 8192  # of a task's block at most
+SPLIT_GRAMS, SPLIT_SETS = 64_000, 128  # groups beyond either are split into blocks of these sizes
+SPLITS = 16  # up to so many, and into more only where the bounds of a block ask for it
 CELLS = 8 << 20  # of an incidence matrix
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -356,63 +356,67 @@ def tree_join(sets: list[np.ndarray], copies: np.ndarray, sides: np.ndarray, num
 def near_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links of every row; sets link when den * overlap >= num * union. n_links is the
     number of other rows that link to the row."""
-    rows, named, counts = labelled(docs, n, num, den)
+    rows, named = labelled(docs, n, num, den)
     last = F.lit((1 << 63) - 1)
-    zero = F.lit(0).cast("long")
-    least = Table(named.groupBy("label").agg(F.min("least").alias("component_id")), "components")
-    own = named.join(counts, "key", "left").withColumn("n_links", F.coalesce("links", zero) + F.col("copies") - 1)
-    by_key = Table(own.join(least.df, "label").select("key", "component_id", "n_links"), "class-components")
-    out = rows.select("doc_id", "n_shingles", "key").join(by_key.df, "key", "left")
+    least = Table(named.df.groupBy("label").agg(F.min("least").alias("component_id")), "components")
+    by_key = Table(named.df.join(least.df, "label").select("key", "component_id", "n_links"), "class-components")
+    named.drop()
+    least.drop()
+    out = rows.df.select("doc_id", "n_shingles", "key").join(by_key.df, "key", "left")
     found = F.when(F.col("key").isNull(), F.col("doc_id")).when(F.col("component_id") < last, F.col("component_id"))
-    return out.select("doc_id", "n_shingles", found.alias("component_id"), F.coalesce("n_links", zero).alias("n_links"))
+    return out.select("doc_id", "n_shingles", found.alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
-def labelled(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """doc_id, n_shingles, key, text_hash of every row; key, least id, copies and label of every set, where linked sets share
-    a label; key and links of the sets that link to others."""
-    spark = docs.sparkSession
-    small_batches(spark, 2000)
+def labelled(docs: DataFrame, n: int, num: int, den: int) -> tuple[Table, Table]:
+    """doc_id, n_shingles, key, text_hash of every row; and key, least id, label and n_links of every set, where linked sets
+    share a label."""
+    prepare(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     levels = sketch_levels(own, n)
-    rows = Table(signatures(own, levels, n, num, den), "signatures")
+    rows, scratch = Table(signatures(own, levels, n, num, den), "signatures"), Scratch()
     last = F.lit((1 << 63) - 1)
     rep = F.min(F.struct(F.coalesce("doc_id", last).alias("least"), "text_hash", "n_shingles", "prefix", "parity")).alias("r")
-    reps = Table(rows.df.filter("key is not null").groupBy("key").agg(rep, F.count("*").alias("copies")).select("key", "copies", "r.*"), "classes")
-    coarse = components(proposals(reps.df, num, den))
-    found = verified(own, reps.df, coarse.df, levels, n, num, den)
+    reps = scratch.table(rows.df.filter("key is not null").groupBy("key").agg(rep, F.count("*").alias("copies")).select("key", "copies", "r.*"), "classes")
+    coarse = components(proposals(reps, num, den, scratch))
+    found = verified(own, reps, coarse.df, levels, n, num, den)
     labels = components(found.df.filter("b is not null").select("a", "b"))
     counts = found.df.filter("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
-    coarse.drop()
-    named = reps.df.select("key", "least", "copies").join(labels.df, F.col("key") == F.col("node"), "left").select("key", "least", "copies", F.coalesce("label", "key").alias("label"))
-    return rows.df, named, counts
+    named = reps.select("key", "least", "copies").join(labels.df, F.col("key") == F.col("node"), "left").join(counts, "key", "left")
+    links = F.coalesce("links", F.lit(0).cast("long")) + F.col("copies") - 1
+    out = Table(named.select("key", "least", F.coalesce("label", "key").alias("label"), links.alias("n_links")), "labelled")
+    for t in (scratch, coarse, found, labels):
+        t.drop()
+    return rows, out
 
 
 def surplus(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, text_hash, kept: which rows of docs, by id and hash of the text, are not the only one to keep of their class. A
     class keeps one row: that of the least id (null after all others), then of the least text_hash. kept is true where
     that row is repeated, so that one of the repeats stays, and false for rows that all go."""
-    rows, named, _ = labelled(docs, n, num, den)
-    counted = rows.filter("key is not null").groupBy("key", "doc_id", "text_hash").agg(F.count("*").alias("copies"))
-    own = Table(counted.join(named.select("key", "label"), "key").select("label", "doc_id", "text_hash", "copies"), "class-rows")
+    rows, named = labelled(docs, n, num, den)
+    counted = rows.df.filter("key is not null").groupBy("key", "doc_id", "text_hash").agg(F.count("*").alias("copies"))
+    own = Table(counted.join(named.df.select("key", "label"), "key").select("label", "doc_id", "text_hash", "copies"), "class-rows")
+    rows.drop()
+    named.drop()
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
     first = Table(own.df.groupBy("label").agg(F.min(order).alias("first"), F.sum("copies").alias("size")).filter("size > 1"), "class-firsts")
     kept = F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.hash"))
     return own.df.join(first.df, "label").withColumn("kept", kept).filter("not kept or copies > 1").select("doc_id", "text_hash", "kept")
 
 
-def proposals(reps: DataFrame, num: int, den: int) -> DataFrame:
+def proposals(reps: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
     """Edges (a, b) between keys, whose components hold all links."""
     tokens = reps.select("key", "n_shingles", F.explode("prefix").alias("token"))
     ends = [f(F.struct("key", "n_shingles")).alias(c) for f, c in ((F.min, "lo"), (F.max, "hi"))]
     met = tokens.groupBy("token").agg(F.count("*").alias("m"), *ends, F.bit_xor("key").alias("x")).filter("m > 1")
     fits = den * F.least("lo.n_shingles", "hi.n_shingles") >= num * F.greatest("lo.n_shingles", "hi.n_shingles")
     met = met.filter((F.col("m") > 2) | fits).select("token", "m", F.col("lo.key").alias("lo"), F.col("hi.key").alias("hi"), "x")
-    groups = Table(met.groupBy("m", "lo", "hi", "x").agg(F.min("token").alias("token")), "token-groups")
+    groups = scratch.table(met.groupBy("m", "lo", "hi", "x").agg(F.min("token").alias("token")), "token-groups")
     marked = reps.select("key", "n_shingles", "parity")
-    pairs = groups.df.filter("m = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+    pairs = groups.filter("m = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
     for end in ("a", "b"):
         pairs = pairs.join(marked.select(F.col("key").alias(end), F.col("n_shingles").alias(f"n_{end}"), F.col("parity").alias(f"parity_{end}")), end)
-    members = tokens.join(groups.df.filter("m > 2").select("token", "m", "lo"), "token")
+    members = tokens.join(groups.filter("m > 2").select("token", "m", "lo"), "token")
     large = members.filter(F.col("m") > GROUP).select(F.col("lo").alias("a"), F.col("key").alias("b"))
     small = members.filter(F.col("m") <= GROUP).select("token", "key").join(marked, "key")
 
@@ -432,22 +436,24 @@ def proposals(reps: DataFrame, num: int, den: int) -> DataFrame:
     return passed.unionByName(large).unionByName(small.groupBy("token").applyInArrow(forest, schema))
 
 
-def meetings(wanted: DataFrame, num: int, den: int, tasks: int) -> DataFrame:
+def meetings(wanted: DataFrame, num: int, den: int, tasks: int, scratch: Scratch) -> DataFrame:
     """wanted (key, least, text_hash, copies, n_shingles, comp) with `meets`: the tasks (g1, g2) where the set is asked for,
     and on which side of the tree."""
     ratio = den / num * 1.0001  # linked sets are at most one band apart
-    sized = wanted.groupBy("comp").agg((F.sum("n_shingles") > SPLIT_GRAMS).alias("large"), F.sum("n_shingles").alias("grams"))
-    sized = Table(sized, "coarse-sizes")
-    total = sized.df.filter("not large").agg(F.sum("grams")).first()[0] or 0
+    grams, sets = F.sum("n_shingles"), F.count("*")
+    sized = wanted.groupBy("comp").agg(((grams > SPLIT_GRAMS) | (sets > SPLIT_SETS)).alias("large"), grams.alias("grams"))
+    sized = scratch.table(sized, "coarse-sizes")
+    total = sized.filter("not large").agg(F.sum("grams")).first()[0] or 0
     bundles = max(tasks, -(-int(total) // BLOCK_GRAMS))
-    wanted = Table(wanted.join(sized.df.select("comp", "large"), "comp").withColumn("band", F.when(F.col("large"), F.floor(F.log(F.col("n_shingles").cast("double")) / float(np.log(ratio)))).otherwise(0).cast("long")), "banded")
-    blocks = F.greatest(F.least(F.ceil(F.sum("n_shingles") / SPLIT_GRAMS), F.lit(SPLITS)), F.ceil(F.sum("n_shingles") / BLOCK_GRAMS)).cast("long")
-    bands = Table(wanted.df.filter("large").groupBy("comp", "band").agg(blocks.alias("own")), "bands")
-    near = bands.df.alias("x")
+    wanted = scratch.table(wanted.join(sized.select("comp", "large"), "comp").withColumn("band", F.when(F.col("large"), F.floor(F.log(F.col("n_shingles").cast("double")) / float(np.log(ratio)))).otherwise(0).cast("long")), "banded")
+    fine = F.greatest(F.ceil(grams / SPLIT_GRAMS), F.ceil(sets / SPLIT_SETS))
+    blocks = F.greatest(F.least(fine, F.lit(SPLITS)), F.ceil(grams / BLOCK_GRAMS), F.ceil(sets / BLOCK_SETS)).cast("long")
+    bands = scratch.table(wanted.filter("large").groupBy("comp", "band").agg(blocks.alias("own")), "bands")
+    near = bands.alias("x")
     for name, by in (("after", 1), ("ahead", -1)):
-        near = near.join(bands.df.select(F.col("comp").alias("c"), (F.col("band") - by).alias("b"), F.col("own").alias(name)), (F.col("comp") == F.col("c")) & (F.col("band") == F.col("b")), "left").drop("c", "b")
-    near = Table(near, "near-bands")
-    split = wanted.df.filter("large").join(near.df, ["comp", "band"]).withColumn("block", F.pmod(F.xxhash64("key"), "own"))
+        near = near.join(bands.select(F.col("comp").alias("c"), (F.col("band") - by).alias("b"), F.col("own").alias(name)), (F.col("comp") == F.col("c")) & (F.col("band") == F.col("b")), "left").drop("c", "b")
+    near = scratch.table(near, "near-bands")
+    split = wanted.filter("large").join(near, ["comp", "band"]).withColumn("block", F.pmod(F.xxhash64("key"), "own"))
     task = lambda band, kind, i, j: (((band * 2 + kind) * (1 << 20) + i) * (1 << 20) + j).cast("long")
     meet = lambda g2, side: F.struct(g2.alias("g2"), side.cast("int").alias("side"))
     i, band = F.col("block"), F.col("band")
@@ -457,7 +463,7 @@ def meetings(wanted: DataFrame, num: int, den: int, tasks: int) -> DataFrame:
     inward = each(F.coalesce("ahead", F.lit(0)), lambda j: meet(task(band - 1, F.lit(1), j, i), F.lit(1)))
     columns = ["key", "least", "text_hash", "copies", "comp"]
     split = split.select(*columns, F.col("comp").alias("g1"), F.concat(inner, outer, inward).alias("meets"))
-    whole = wanted.df.filter("not large").select(*columns, F.pmod(F.xxhash64("comp"), F.lit(bundles)).cast("long").alias("g1"), F.array(meet(F.lit(-1).cast("long"), F.lit(2))).alias("meets"))
+    whole = wanted.filter("not large").select(*columns, F.pmod(F.xxhash64("comp"), F.lit(bundles)).cast("long").alias("g1"), F.array(meet(F.lit(-1).cast("long"), F.lit(2))).alias("meets"))
     return whole.unionByName(split)
 
 
@@ -466,8 +472,9 @@ def verified(docs: DataFrame, reps: DataFrame, coarse: DataFrame, levels: np.nda
     the number of links of a."""
     spark = docs.sparkSession
     wanted = coarse.join(reps.select("key", "least", "text_hash", "copies", "n_shingles"), F.col("node") == F.col("key")).select("key", "least", "text_hash", "copies", "n_shingles", F.col("label").alias("comp"))
-    dealt = Table(meetings(wanted, num, den, int(spark.conf.get("spark.sql.shuffle.partitions"))), "meetings")
-    runtime_filters(spark)
+    scratch = Scratch()
+    dealt = Table(meetings(wanted, num, den, int(spark.conf.get("spark.sql.shuffle.partitions")), scratch), "meetings")
+    scratch.drop()
     texts = docs.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("least"), F.xxhash64("text").alias("text_hash"), "text").join(dealt.df.filter("size(meets) > 0"), ["least", "text_hash"])
     meets = "array<struct<g2:long,side:int>>"
 

@@ -45,6 +45,21 @@ class Table:
         drop_folder(self.spark, self.path)
 
 
+class Scratch:
+    """Tables that only the work at hand reads; drop() frees them all."""
+
+    def __init__(self):
+        self.held: list[Table] = []
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        self.held.append(Table(df, name))
+        return self.held[-1].df
+
+    def drop(self) -> None:
+        while self.held:
+            self.held.pop().drop()
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes all intermediate tables of this application: for the end of a job, as results that weren't written yet may
     read them."""
