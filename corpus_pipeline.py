@@ -2,6 +2,12 @@
 
 Each stage takes the whole of what the stage before it kept, as a written table, and all but the last give back the
 columns of `documents`.
+
+Defined cases, in every stage: a null text counts as empty (scored as such, in no class of near duplicates, without
+repeats or identifiers, packed as one closing id) and stays null in the table; a null id stays null, and such rows are
+rows like others; repeated rows are scored, cleaned and packed each, but near duplicates leave one of them; long texts are
+taken whole; of copies the least id stays, ties go to the least hash; further columns, also of names that operators use
+themselves, are carried through all stages but the last; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -62,7 +68,10 @@ STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeats"
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = Table(stage(spark, docs, sf_dir), f"stage-{name}").df
+        now = Table(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            before.drop()
+        docs, before = now.df, now
     return STAGES[-1][1](spark, docs, sf_dir)
