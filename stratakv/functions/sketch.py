@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -169,3 +170,38 @@ class BloomFilter:
         out = BloomFilter(n, p)
         out.bits = bytearray(body[:-12])
         return out
+
+
+PIECE_BITS = 1 << 15
+PIECE_ROWS = "part int, piece int, bits binary"
+
+
+def _positions_of(hashes: np.ndarray, m: int, k: int) -> np.ndarray:
+    """Bits of 64-bit hashes, a row for each function."""
+    h = hashes.view(np.uint64)
+    low, high = h & np.uint64(0xFFFFFFFF), h >> np.uint64(32)
+    x = (low + np.arange(1, k + 1, dtype=np.uint64)[:, None] * high) & np.uint64(0xFFFFFFFF)
+    return np.where(x < np.uint64(1 << 31), x, np.uint64(0xFFFFFFFF) - x) % np.uint64(m)
+
+
+def filter_pieces(keys: DataFrame) -> DataFrame:
+    """part, piece, bits: a filter over each part's keys (as many as the part has rows), in pieces of PIECE_BITS. A part is
+    one run, whose bytes its writer bounds; its filter takes about a byte a key."""
+
+    def fold(rows: pa.Table) -> pa.Table:
+        n = len(rows)
+        m, k = total_bits(n), hash_count(n)
+        held = np.zeros(-(-m // PIECE_BITS) * PIECE_BITS, dtype=np.uint8)
+        for i in range(0, n, 1 << 16):
+            held[_positions_of(murmur64(rows["key"].slice(i, 1 << 16).to_pylist()), m, k).astype(np.int64)] = 1
+        pieces = np.packbits(held.reshape(-1, PIECE_BITS), axis=1, bitorder="little")
+        part = rows["part"][0].as_py()
+        return pa.table([pa.array([part] * len(pieces), pa.int32()), pa.array(range(len(pieces)), pa.int32()), pa.array([p.tobytes() for p in pieces], pa.binary())], names=["part", "piece", "bits"])
+
+    return keys.groupBy("part").applyInArrow(fold, PIECE_ROWS)
+
+
+def pieces_of(key: bytes, n: int) -> list[tuple[int, int]]:
+    """Piece and bit in it of each of a key's bits in a filter over n keys."""
+    at = _positions_of(murmur64([key]), total_bits(n), hash_count(n))[:, 0].tolist()
+    return [(int(b) // PIECE_BITS, int(b) % PIECE_BITS) for b in at]

@@ -12,9 +12,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ENTRY = "key binary, value binary"
 LOG = "batch long, ord long, key binary, value binary"
-MANIFEST = "track_seq long, type string, id int, upper_level int, upper_ids array<int>, lower_level int, lower_ids array<int>, is_bottom boolean, outputs array<int>"
 
 
 @dataclass(frozen=True)
@@ -72,6 +70,7 @@ class Options:
     block_size: int = 4096
     memtable_limit: int = 2
     run_size: int = 1 << 20
+    keep_versions: int = 4
     strategy: NoCompact | Simple = Simple()
 
     def __post_init__(self):

@@ -20,6 +20,13 @@ def newest(log: DataFrame, recency: Column | str = "seq") -> DataFrame:
     return log.groupBy("key").agg(F.max_by("value", recency).alias("value"))
 
 
+def newest_rows(log: DataFrame, recency: tuple[str, ...] = ("batch", "ord")) -> DataFrame:
+    """The same with all columns of the newest entry, and a recency of several columns; no window, so it combines too."""
+    rest = [c for c in log.columns if c != "key"]
+    out = log.groupBy("key").agg(F.max_by(F.struct(*rest), F.struct(*recency)).alias("__newest"))
+    return out.select(*[F.col("key") if c == "key" else F.col(f"__newest.{c}") for c in log.columns])
+
+
 def newest_by_rank(log: DataFrame, recency: Column | str = "seq") -> DataFrame:
     """The same by a window, with all columns of the newest entry."""
     order = Window.partitionBy("key").orderBy((F.col(recency) if isinstance(recency, str) else recency).desc())

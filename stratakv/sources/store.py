@@ -1,29 +1,36 @@
 """A store on a shared file system: a durable log of segments, sorted Parquet runs in levels, and a manifest.
 
-Layout under the root: `log/segment=<id>/` holds the entries of a segment as they were put; `runs/<id>/` is a sorted run;
-`manifest/<version>.json` is a whole snapshot of the store, written once and never changed. A commit writes the next
-version under another name and renames it, so readers see either snapshot; files that no snapshot of a reader needs are
-deleted only after the commit that lets go of them. One writer at a time.
+Layout under the root: `log/segment=<id>/` holds the entries of a segment as they were put, each with its checksum;
+`runs/<name>/part=<k>/` is a sorted run, likewise, and `filters/<name>/` the Bloom filters of the runs written with it;
+`manifest/<version>.json` is a whole snapshot of the store but for its older tracks, which lie in `tracks/` and are
+written once. A commit writes the next version under another name and renames it, so readers see either snapshot, and
+only then does the store in memory change. Files that a commit lets go of stay for `keep_versions` more commits, so that
+DataFrames made before it still run and older versions can be opened. One writer at a time.
 
 Recency of an entry is (batch, ord): the number of its put, and its place in it. Runs keep it, so that every read is one
-newest-wins resolution over whatever holds the key.
+newest-wins resolution over whatever holds the key. Checksums are verified wherever entries are read; a wrong one fails
+the job.
 """
 
 from __future__ import annotations
 
+import copy
 import json
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratakv.functions.sketch import BloomFilter
+from stratakv.functions import sketch
 from stratakv.model import LOG, UNBOUNDED, Bound, Options, is_tombstone, key_range, require_keys
 from stratakv.operators import compact
+from stratakv.operators.blocks import verified, with_checksum
 from stratakv.operators.compact import Levels, Task
+from stratakv.operators.resolve import newest_rows
 
-BLOOM_KEYS = 10_000  # runs of more keys rely on Parquet's own filters
+STORED = f"{LOG}, crc long"
+TRACKS = 100  # tracks of a file
 
 
 @dataclass
@@ -35,22 +42,29 @@ class Snapshot:
     next_batch: int = 1
     memtable: int = 0
     segment_bytes: dict[int, int] = field(default_factory=lambda: {0: 0})
+    segment_paths: dict[int, list[str]] = field(default_factory=dict)
     immutable: list[int] = field(default_factory=list)
     levels: Levels = field(default_factory=Levels)
     runs: dict[int, dict] = field(default_factory=dict)
     sources: dict[str, int] = field(default_factory=dict)
+    retired: list[list] = field(default_factory=list)
     tracks: list[dict] = field(default_factory=list)
+    filed: int = 0
 
     def encode(self) -> str:
         x = {k: v for k, v in self.__dict__.items() if k != "levels"}
-        return json.dumps(x | {"level0": self.levels.level0, "below": self.levels.below})
+        return json.dumps(x | {"level0": self.levels.level0, "below": self.levels.below, "tracks": self.tracks[self.filed :]})
 
     @staticmethod
     def decode(text: str) -> Snapshot:
         x = json.loads(text)
         ints = lambda d: {int(k): v for k, v in d.items()}
         levels = Levels(x.pop("level0"), ints(x.pop("below")))
-        return Snapshot(**x | {"levels": levels, "runs": ints(x["runs"]), "segment_bytes": ints(x["segment_bytes"])})
+        return Snapshot(**x | {"levels": levels} | {k: ints(x[k]) for k in ("runs", "segment_bytes", "segment_paths")})
+
+    def draft(self) -> Snapshot:
+        """A copy that an operation may change before it commits."""
+        return Snapshot(**{k: list(v) if k == "tracks" else copy.deepcopy(v) for k, v in self.__dict__.items()})
 
 
 def replay(tracks: list[dict]) -> tuple[list[int], Levels, int]:
@@ -91,8 +105,8 @@ class KVStore:
         fs, at = self._fs(path)
         fs.delete(at, True)
 
-    def _write(self, path: str, text: str) -> None:
-        """The whole file or none of it; fails if it is there."""
+    def _write(self, path: str, text: str, again: bool = False) -> None:
+        """The whole file or none of it; fails if it is there, or if `again` writes over it."""
         fs, at = self._fs(path)
         _, draft = self._fs(f"{path}.{uuid.uuid4().hex}")
         out = fs.create(draft, True)
@@ -100,6 +114,8 @@ class KVStore:
             out.write(bytearray(text.encode()))
         finally:
             out.close()
+        if again and fs.exists(at):
+            fs.delete(at, False)
         if fs.exists(at) or not fs.rename(draft, at):
             fs.delete(draft, False)
             raise RuntimeError(f"another writer made {path}")
@@ -111,23 +127,46 @@ class KVStore:
     # life
 
     @staticmethod
-    def open(spark: SparkSession, path: str, options: Options = Options()) -> KVStore:
-        """A new store, or the last committed state of one; segments that were not flushed are still in the log."""
+    def open(spark: SparkSession, path: str, options: Options = Options(), version: int | None = None) -> KVStore:
+        """A new store, or the last committed state of one; segments that were not flushed are still in the log. With a
+        version, a store as of that commit, for reading."""
         store = KVStore(spark, path, options, Snapshot(levels=Levels.empty(options.strategy), tracks=[{"type": "create", "id": 0}]))
-        versions = sorted(int(n[:-5]) for n in store._list(f"{store.path}/manifest") if n.endswith(".json") and n[:-5].isdigit())
+        versions = store.versions()
+        if version is not None and version not in versions:
+            raise ValueError(f"version {version} isn't kept")
+        store.read_only = version is not None
         if versions:
-            store.now = Snapshot.decode(store._read(spark, f"{store.path}/manifest/{versions[-1]:020d}.json"))
+            store.now = Snapshot.decode(store._read(spark, f"{store.path}/manifest/{version or versions[-1]:020d}.json"))
+            filed = [t for i in range(0, store.now.filed, TRACKS) for t in json.loads(store._read(spark, f"{store.path}/tracks/{i:020d}.json"))]
+            store.now.tracks = filed + store.now.tracks
             for level in range(1, getattr(options.strategy, "max_levels", 0) + 1):
                 store.now.levels.below.setdefault(level, [])
         else:
-            store._commit()
+            store._commit(store.now.draft())
         return store
 
-    def _commit(self, gone: list[str] = ()) -> None:
-        self.now.version += 1
-        self._write(f"{self.path}/manifest/{self.now.version:020d}.json", self.now.encode())
-        for path in gone:
+    def versions(self) -> list[int]:
+        """Versions that can be opened."""
+        return sorted(int(n[:-5]) for n in self._list(f"{self.path}/manifest") if n.endswith(".json") and n[:-5].isdigit())
+
+    def _commit(self, now: Snapshot, gone: list[str] = ()) -> None:
+        """Makes `now` the store's state, on disk first."""
+        if getattr(self, "read_only", False):
+            raise RuntimeError("an older version is open for reading only")
+        now.version = self.now.version + 1
+        oldest = now.version - self.options.keep_versions
+        now.retired += [[now.version, p] for p in gone]
+        due = [p for v, p in now.retired if v <= oldest]
+        now.retired = [x for x in now.retired if x[0] > oldest]
+        while len(now.tracks) - now.filed >= TRACKS:
+            self._write(f"{self.path}/tracks/{now.filed:020d}.json", json.dumps(now.tracks[now.filed : now.filed + TRACKS]), True)
+            now.filed += TRACKS
+        self._write(f"{self.path}/manifest/{now.version:020d}.json", now.encode())
+        self.now = now
+        for path in due:
             self._delete(path)
+        if oldest > 1:
+            self._delete(f"{self.path}/manifest/{oldest - 1:020d}.json")
 
     def close(self) -> None:
         """Nothing to do: every put is in the log."""
@@ -139,73 +178,75 @@ class KVStore:
         else any. With a source, a batch number at or below its last is left out."""
         if source is not None and source_batch <= self.now.sources.get(source, -1):
             return
+        now = self.now.draft()
         order = F.col("ord").cast("long") if "ord" in entries.columns else F.monotonically_increasing_id()
-        batch = entries.select(F.lit(self.now.next_batch).cast("long").alias("batch"), order.alias("ord"), F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"))
-        path = f"{self.path}/log/segment={self.now.memtable}/batch-{self.now.next_batch}-{uuid.uuid4().hex}"
-        require_keys(batch).write.parquet(path)
-        size = self.spark.read.schema(LOG).parquet(path).agg(F.sum(F.octet_length("key") + F.octet_length("value"))).first()[0] or 0
-        self.now.segment_bytes[self.now.memtable] += int(size)
-        self.now.next_batch += 1
+        batch = entries.select(F.lit(now.next_batch).cast("long").alias("batch"), order.alias("ord"), F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"))
+        path = f"{self.path}/log/segment={now.memtable}/batch-{now.next_batch}-{uuid.uuid4().hex}"
+        with_checksum(require_keys(batch)).write.parquet(path)
+        size = self.spark.read.schema(STORED).parquet(path).agg(F.sum(F.octet_length("key") + F.octet_length("value"))).first()[0] or 0
+        now.segment_bytes[now.memtable] += int(size)
+        now.segment_paths.setdefault(now.memtable, []).append(path)
+        now.next_batch += 1
         if source is not None:
-            self.now.sources[source] = source_batch
-        self.now.runs.setdefault(-1 - self.now.memtable, {"paths": []})["paths"].append(path)
-        if self.now.segment_bytes[self.now.memtable] >= self.options.run_size:
-            self._freeze()
-        self._commit()
+            now.sources[source] = source_batch
+        if now.segment_bytes[now.memtable] >= self.options.run_size:
+            self._freeze(now)
+        self._commit(now)
 
     def delete(self, keys: DataFrame) -> None:
         """Tombstones for the keys, present or not."""
         self.put(keys.select("key", F.lit(b"").alias("value")))
 
-    def _freeze(self) -> None:
-        self.now.immutable.append(self.now.memtable)
-        self.now.memtable, self.now.next_id = self.now.next_id, self.now.next_id + 1
-        self.now.segment_bytes[self.now.memtable] = 0
-        self.now.tracks.append({"type": "create", "id": self.now.memtable})
+    @staticmethod
+    def _freeze(now: Snapshot) -> None:
+        now.immutable.append(now.memtable)
+        now.memtable, now.next_id = now.next_id, now.next_id + 1
+        now.segment_bytes[now.memtable] = 0
+        now.tracks.append({"type": "create", "id": now.memtable})
 
     def force_freeze(self) -> None:
-        self._freeze()
-        self._commit()
-
-    def _segment(self, segment: int) -> DataFrame:
-        paths = self.now.runs.get(-1 - segment, {"paths": []})["paths"]
-        return self.spark.read.schema(LOG).parquet(*paths) if paths else self.spark.createDataFrame([], LOG)
-
-    def _resolved(self, log: DataFrame) -> DataFrame:
-        newest = F.max_by(F.struct("batch", "ord", "value"), F.struct("batch", "ord")).alias("v")
-        return log.groupBy("key").agg(newest).select("v.batch", "v.ord", "key", "v.value")
-
-    def _save_run(self, entries: DataFrame) -> int | None:
-        """One sorted run; None if there are no entries."""
-        run, self.now.next_id = self.now.next_id, self.now.next_id + 1
-        path = f"{self.path}/runs/{run:05d}-{uuid.uuid4().hex}"
-        entries.coalesce(1).sortWithinPartitions("key").write.option("parquet.bloom.filter.enabled#key", "true").parquet(path)
-        saved = self.spark.read.schema(LOG).parquet(path)
-        n, first, last, size = saved.agg(F.count("*"), F.hex(F.min("key")), F.hex(F.max("key")), F.sum(F.octet_length("key") + F.octet_length("value"))).first()
-        if not n:
+        now = self.now.draft()
+        self._freeze(now)
+        self._commit(now)
+
+    def _entries(self, paths: list[str], where: Column | None = None) -> DataFrame:
+        """batch, ord, key, value of files, with their checksums verified."""
+        stored = self.spark.read.schema(STORED).parquet(*paths) if paths else self.spark.createDataFrame([], STORED)
+        return verified(stored if where is None else stored.filter(where))
+
+    def _save_runs(self, now: Snapshot, entries: DataFrame, parts: int) -> list[int]:
+        """Sorted runs of ranges of keys, `parts` at most, written once; ids of those that hold something, in key order.
+        What the manifest says of them comes from one grouped aggregate, a row a run."""
+        name = uuid.uuid4().hex
+        path, filters = f"{self.path}/runs/{name}", f"{self.path}/filters/{name}"
+        own = with_checksum(entries)
+        own = own.repartitionByRange(parts, "key") if parts > 1 else own.coalesce(1)
+        own.withColumn("part", F.spark_partition_id()).sortWithinPartitions("part", "key").write.partitionBy("part").option("parquet.bloom.filter.enabled#key", "true").parquet(path)
+        saved = self.spark.read.schema(f"{STORED}, part int").parquet(path)
+        stats = saved.groupBy("part").agg(F.count("*").alias("n"), F.hex(F.min("key")).alias("first"), F.hex(F.max("key")).alias("last"), F.sum(F.octet_length("key") + F.octet_length("value")).alias("bytes")).orderBy("part").collect()
+        if not stats:
             self._delete(path)
-            return None
-        self.now.runs[run] = {"paths": [path], "n": n, "first": first, "last": last, "bytes": int(size)}
-        if n <= BLOOM_KEYS:
-            own = BloomFilter(n)
-            for row in saved.select("key").collect():
-                own.add(bytes(row[0]))
-            self.now.runs[run]["bloom"] = own.encode().hex()
-        return run
+            return []
+        ids = list(range(now.next_id, now.next_id + len(stats)))
+        now.next_id += len(stats)
+        for run, x in zip(ids, stats):
+            now.runs[run] = {"paths": [f"{path}/part={x['part']}"], "n": x["n"], "first": x["first"], "last": x["last"], "bytes": int(x["bytes"]), "filter": filters, "part": x["part"]}
+        sketch.filter_pieces(saved.select("part", "key")).write.parquet(filters)
+        return ids
 
     def force_flush(self) -> int | None:
         """The oldest immutable segment as a run of level 0; raises if there is none. An empty segment makes no run."""
         if not self.now.immutable:
             raise RuntimeError("no immutable segment to flush")
-        segment = self.now.immutable[0]
-        run = self._save_run(self._resolved(self._segment(segment)))
-        self.now.immutable.pop(0)
-        gone = self.now.runs.pop(-1 - segment, {"paths": []})["paths"]
-        del self.now.segment_bytes[segment]
-        if run is not None:
-            self.now.levels.level0.append(run)
-        self.now.tracks.append({"type": "flush", "id": segment, "run": run})
-        self._commit(gone)
+        now = self.now.draft()
+        segment = now.immutable.pop(0)
+        gone = now.segment_paths.pop(segment, [])
+        made = self._save_runs(now, newest_rows(self._entries(gone)), 1) if gone else []
+        run = made[0] if made else None
+        del now.segment_bytes[segment]
+        now.levels.level0 += made
+        now.tracks.append({"type": "flush", "id": segment, "run": run})
+        self._commit(now, gone)
         return run
 
     def compact(self, task: Task | None = None) -> list[int] | None:
@@ -213,26 +254,24 @@ class KVStore:
         task = task or compact.pick(self.now.levels, self.options.strategy)
         if task is None:
             return None
-        read = lambda ids: self._runs(list(ids))
-        merged = self._resolved(read([*task.upper_ids, *task.lower_ids]))
-        merged = merged.filter(~is_tombstone()) if task.is_bottom else merged
-        ranged, n = compact.rolled(merged, self.options.run_size)
-        outputs = []
-        if n == 1:
-            outputs = [self._save_run(merged)]
-        elif n:
-            draft = f"{self.path}/runs/draft-{uuid.uuid4().hex}"
-            ranged.withColumn("part", F.spark_partition_id()).write.partitionBy("part").parquet(draft)
-            parts = self.spark.read.schema(f"{LOG}, part int").parquet(draft)
-            for (part,) in parts.select("part").distinct().orderBy("part").collect():
-                outputs.append(self._save_run(parts.filter(F.col("part") == part).drop("part")))
-            self._delete(draft)
-        outputs = [i for i in outputs if i is not None]
-        self.now.levels, old = compact.apply_result(self.now.levels, task, outputs)
-        self.now.tracks.append({"type": "compact", "task": task.encode(), "outputs": outputs})
-        self._commit([p for i in old for p in self.now.runs.pop(i)["paths"]])
+        now = self.now.draft()
+        ids = [*task.upper_ids, *task.lower_ids]
+        merged = compact.merge_entries(self._entries(self._paths(ids)), task.is_bottom)
+        size = sum(now.runs[i]["bytes"] for i in ids)  # what is merged away makes the runs somewhat smaller
+        outputs = self._save_runs(now, merged, max(1, -(-size // self.options.run_size)))
+        now.levels, old = compact.apply_result(now.levels, task, outputs)
+        now.tracks.append({"type": "compact", "task": task.encode(), "outputs": outputs})
+        dropped = [now.runs.pop(i) for i in old]
+        self._commit(now, self._folders(now, dropped))
         return outputs
 
+    @staticmethod
+    def _folders(now: Snapshot, dropped: list[dict]) -> list[str]:
+        """What goes with runs: a folder and its filters with the last of its runs, else the runs' own parts."""
+        held = {r["filter"] for r in now.runs.values()}
+        parts = [p for r in dropped if r["filter"] in held for p in r["paths"]]
+        return parts + sorted({x for r in dropped if r["filter"] not in held for x in (r["filter"], r["paths"][0].rsplit("/part=", 1)[0])})
+
     def full_compaction(self) -> None:
         """All runs as one level, the lowest; deleted keys go."""
         ids = self.now.levels.all_ids()
@@ -253,11 +292,10 @@ class KVStore:
 
     # reads
 
-    def _runs(self, ids: list[int]) -> DataFrame:
-        paths = [p for i in ids for p in self.now.runs[i]["paths"]]
-        return self.spark.read.schema(LOG).parquet(*paths) if paths else self.spark.createDataFrame([], LOG)
+    def _paths(self, ids: list[int]) -> list[str]:
+        return [p for i in ids for p in self.now.runs[i]["paths"]]
 
-    def _overlapping(self, lower: Bound, upper: Bound) -> list[int]:
+    def overlapping(self, lower: Bound, upper: Bound) -> list[int]:
         """Runs whose keys can be in a range, by their first and last keys."""
         out = []
         for i in self.now.levels.all_ids():
@@ -268,29 +306,44 @@ class KVStore:
                 out.append(i)
         return out
 
+    def holding(self, key: bytes, ids: list[int]) -> list[int]:
+        """Those of the runs whose Bloom filters may hold the key. Of each filter only the pieces with the key's bits are
+        read."""
+        if not ids:
+            return []
+        asked = {i: sketch.pieces_of(key, self.now.runs[i]["n"]) for i in ids}
+        pieces = sorted({p for bits in asked.values() for p, _ in bits})
+        parts = sorted({self.now.runs[i]["part"] for i in ids})
+        folders = sorted({self.now.runs[i]["filter"] for i in ids})
+        rows = self.spark.read.schema(sketch.PIECE_ROWS).parquet(*folders).filter(F.col("part").isin(parts) & F.col("piece").isin(pieces)).select("part", "piece", "bits", F.input_file_name().alias("file")).collect()
+        found = {(next(f for f in folders if f.rsplit("/", 1)[1] in r["file"]), r["part"], r["piece"]): r["bits"] for r in rows}
+        run = lambda i: (self.now.runs[i]["filter"], self.now.runs[i]["part"])
+        return [i for i in ids if all(found[(*run(i), p)][b >> 3] >> (b & 7) & 1 for p, b in asked[i])]
+
     def log(self, lower: Bound = UNBOUNDED, upper: Bound = UNBOUNDED, key: bytes | None = None) -> DataFrame:
-        """batch, ord, key, value of everything that can hold keys of a range; only those files are read."""
-        ids = self._overlapping(lower, upper)
+        """batch, ord, key, value of everything in a range of keys, or of one key; only files that can hold some are read."""
+        ids, where = self.overlapping(lower, upper), key_range(lower, upper)
         if key is not None:
-            ids = [i for i in ids if "bloom" not in self.now.runs[i] or BloomFilter.decode(bytes.fromhex(self.now.runs[i]["bloom"])).contains(key)]
-        paths = [p for s in [*self.now.immutable, self.now.memtable] for p in self.now.runs.get(-1 - s, {"paths": []})["paths"]]
-        paths += [p for i in ids for p in self.now.runs[i]["paths"]]
-        return self.spark.read.schema(LOG).parquet(*paths) if paths else self.spark.createDataFrame([], LOG)
+            ids, where = self.holding(key, ids), F.col("key") == F.lit(key)
+        paths = [p for s in [*self.now.immutable, self.now.memtable] for p in self.now.segment_paths.get(s, [])]
+        return self._entries([*paths, *self._paths(ids)], where)
 
     def get(self, key: bytes) -> bytes | None:
         own = Bound.included(key)
-        rows = self._resolved(self.log(own, own, key).filter(F.col("key") == F.lit(key))).filter(~is_tombstone()).collect()
+        rows = newest_rows(self.log(own, own, key)).filter(~is_tombstone()).collect()
         return bytes(rows[0]["value"]) if rows else None
 
     def multi_get(self, keys: DataFrame) -> DataFrame:
-        found = self._resolved(self.log().join(keys.select(F.col("key").cast("binary")).distinct(), "key", "left_semi"))
+        """Live entries of the keys of a DataFrame; runs beyond the least and the largest of them aren't read."""
+        wanted = keys.select(F.col("key").cast("binary")).distinct()
+        least, most = wanted.agg(F.min("key"), F.max("key")).first()
+        ends = (UNBOUNDED, UNBOUNDED) if least is None else (Bound.included(bytes(least)), Bound.included(bytes(most)))
+        found = newest_rows(self.log(*ends).join(wanted, "key", "left_semi"))
         return found.filter(~is_tombstone()).select("key", "value")
 
     def scan(self, lower: Bound = UNBOUNDED, upper: Bound = UNBOUNDED, limit: int | None = None) -> DataFrame:
         """Live entries in key order. The DataFrame reads the files of this moment's snapshot."""
-        wanted = key_range(lower, upper)
-        log = self.log(lower, upper)
-        out = self._resolved(log if wanted is None else log.filter(wanted)).filter(~is_tombstone()).select("key", "value").orderBy("key")
+        out = newest_rows(self.log(lower, upper)).filter(~is_tombstone()).select("key", "value").orderBy("key")
         return out if limit is None else out.limit(limit)
 
     def catalog(self) -> DataFrame:

@@ -148,3 +148,76 @@ def test_a_stream_is_put_once(spark, tmp_path):
     batch = store.now.next_batch
     store.put(spark.createDataFrame([("c", "1")], "key string, value string"), source=checkpoint, source_batch=0)
     assert store.now.next_batch == batch
+
+
+def test_older_versions_and_frames_made_before(spark, tmp_path):
+    store = KVStore.open(spark, str(tmp_path / "s"), Options(strategy=Simple(200, 2, 2), keep_versions=6))
+    put(spark, store, [(b"a", b"1"), (b"b", b"1")])
+    store.force_freeze()
+    store.force_flush()
+    before, version = store.scan(), store.now.version
+    put(spark, store, [(b"a", b"2"), (b"b", b"")])
+    store.force_freeze()
+    store.force_flush()
+    store.compact()
+    assert scanned(store) == {b"a": b"2"}
+    assert {bytes(r.key): bytes(r.value) for r in before.collect()} == {b"a": b"1", b"b": b"1"}
+    old = KVStore.open(spark, store.path, store.options, version)
+    assert scanned(old) == {b"a": b"1", b"b": b"1"} and old.get(b"b") == b"1"
+    with pytest.raises(RuntimeError, match="reading only"):
+        old.force_freeze()
+    for _ in range(8):
+        store.force_freeze()
+    assert len(store.versions()) == 7 and version not in store.versions()
+    with pytest.raises(ValueError, match="isn't kept"):
+        KVStore.open(spark, store.path, store.options, version)
+    assert scanned(store) == {b"a": b"2"}
+    assert len(list((tmp_path / "s" / "runs").iterdir())) == len(list((tmp_path / "s" / "filters").iterdir()))
+
+
+def test_a_failed_commit_changes_nothing(spark, tmp_path):
+    first, second = (KVStore.open(spark, str(tmp_path / "s")) for _ in range(2))
+    put(spark, first, [(b"a", b"1")])
+    state = second.now.encode()
+    for act in (second.force_freeze, lambda: put(spark, second, [(b"b", b"1")])):
+        with pytest.raises(RuntimeError, match="another writer"):
+            act()
+        assert second.now.encode() == state
+
+
+def test_tracks_are_filed_once(spark, tmp_path, monkeypatch):
+    from stratakv.sources import store as module
+
+    monkeypatch.setattr(module, "TRACKS", 3)
+    store = KVStore.open(spark, str(tmp_path / "s"))
+    for _ in range(8):
+        store.force_freeze()
+    assert len(store.now.tracks) == 9 and store.now.filed == 9
+    assert KVStore.open(spark, store.path).now.tracks == store.now.tracks
+    assert replay(store.now.tracks)[0] == [*store.now.immutable, store.now.memtable]
+
+
+def test_wrong_checksums_fail(spark, tmp_path):
+    store = KVStore.open(spark, str(tmp_path / "s"))
+    put(spark, store, [(b"a", b"1"), (b"b", b"2")])
+    path = store.now.segment_paths[0][0]
+    spark.createDataFrame([(1, 0, bytearray(b"a"), bytearray(b"1"), 12345)], "batch long, ord long, key binary, value binary, crc long").write.mode("overwrite").parquet(path)
+    with pytest.raises(Exception, match="checksum mismatch"):
+        store.scan().collect()
+
+
+def test_filters_prune_runs_of_any_size(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    store = KVStore.open(spark, str(tmp_path / "s"), Options(run_size=1 << 40, strategy=NoCompact()))
+    for k in range(2):  # even and odd numbers: ranges overlap wholly
+        store.put(spark.range(500_000).select(F.format_string("k%07d", F.col("id") * 2 + k).alias("key"), F.lit("v").alias("value"), F.col("id").alias("ord")))
+        store.force_freeze()
+        store.force_flush()
+    even, odd = store.now.levels.level0
+    keys = [b"k%07d" % i for i in range(400_000, 400_060)]
+    for i, key in enumerate(keys):
+        assert [even, odd][i % 2] in store.holding(key, [even, odd])
+    assert sum(len(store.holding(key, [even, odd])) for key in keys[:30]) <= 40
+    assert store.get(keys[1]) == b"v" and store.get(b"k9") is None
+    assert len(store.log(Bound.included(keys[0]), Bound.included(keys[0]), keys[0]).inputFiles()) <= 2
