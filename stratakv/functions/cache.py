@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import OrderedDict
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,3 +38,21 @@ def reuse(trace: DataFrame) -> DataFrame:
     """Reads with the time since the block was last read, by file: seq, run_id, block, gap (null the first time)."""
     order = Window.partitionBy("run_id", "block").orderBy("seq")
     return trace.withColumn("gap", F.col("seq") - F.lag("seq").over(order))
+
+
+def cache_hits(trace: DataFrame, capacity: int) -> DataFrame:
+    """seq, run_id, block, hit: each file's reads, in order, through an LRU cache of `capacity` blocks. Sequential in a file,
+    whose reads are one task's, 16 bytes each."""
+
+    def replayed(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("seq")
+        cache, hit = LRUCache(capacity), []
+        for block in rows["block"].to_pylist():
+            hit.append(cache.get(block) is not None)
+            if not hit[-1]:
+                cache.put(block, block, 1)
+        return rows.append_column("hit", pa.array(hit, pa.bool_()))
+
+    kind = {f.name: f.dataType.simpleString() for f in trace.schema.fields}
+    out = trace.select("seq", "run_id", "block")
+    return out.groupBy("run_id").applyInArrow(replayed, f"seq {kind['seq']}, run_id {kind['run_id']}, block {kind['block']}, hit boolean")

@@ -11,9 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratakv.functions import sketch
-from stratakv.functions.cache import reuse
-from stratakv.model import UNBOUNDED, Bound, Simple, events_log, orders_log
+from stratakv.functions.cache import cache_hits, reuse
+from stratakv.model import UNBOUNDED, Bound, Options, Simple, events_log, orders_log
 from stratakv.operators import blocks, compact, query, resolve, segment
+from stratakv.plans import hash_sql
+from stratakv.sources import scratch
+from stratakv.sources.store import KVStore
 
 RUN = 1000  # entries of a run that the queries cut the log into
 THRESHOLD, BLOCK, LIMIT = 1024, 256, 2
@@ -161,15 +164,9 @@ def tombstones(spark, sf_dir):
 # merges
 
 
-@query_of("kway_merge", f"WITH {K}, {R} SELECT key, arg_max(value, run_id) AS value FROM r WHERE run_id < 8 GROUP BY key")
+@query_of("kway_merge", f"WITH {K}, {R} SELECT key, arg_max(value, run_id) AS value FROM r GROUP BY key")
 def kway_merge(spark, sf_dir):
-    every = runs(spark, sf_dir)
-    return resolve.kway_merge([every.filter(F.col("run_id") == i) for i in range(8)])
-
-
-@query_of("kway_merge_all", f"WITH {K}, {R} SELECT key, arg_max(value, run_id) AS value FROM r GROUP BY key")
-def kway_merge_all(spark, sf_dir):
-    """All runs, however many; kway_merge is of the first eight, as its SQL is."""
+    """All runs, however many, in one pass: a run's place in the order is a column."""
     return resolve.newest(runs(spark, sf_dir), "run_id")
 
 
@@ -276,7 +273,7 @@ def block_sizes(spark, sf_dir):
     return runs(spark, sf_dir).groupBy("run_id").agg(blocks.encoded_size().alias("encoded_bytes"))
 
 
-@query_of("block_checksums")
+@query_of("block_checksums", f"WITH {K}, {R}, {hash_sql.CRC} SELECT run_id, key, {hash_sql.crc32('(key || value)')} AS crc FROM r, crc")
 def block_checksums(spark, sf_dir):
     return blocks.with_checksum(runs(spark, sf_dir)).select("run_id", "key", "crc")
 
@@ -325,10 +322,8 @@ def compact_apply(spark, sf_dir):
 
 @query_of("compact_l0_l1", f"WITH {K}, {R}, {RUNS}, {_HALF} SELECT key, arg_max(value, run_id) AS value FROM r GROUP BY key")
 def compact_l0_l1(spark, sf_dir):
-    levels, every = _levels(spark, sf_dir), runs(spark, sf_dir)
-    of = lambda ids: [every.filter(F.col("run_id") == i) for i in ids]
-    lower = [resolve.kway_merge(of(levels.below[1]))] if levels.below[1] else []
-    return compact.merge(of(levels.level0), lower, True, False)
+    """Both levels in one pass, as the store does it: the later run wins, whichever level it is in."""
+    return compact.merge_entries(runs(spark, sf_dir), False, ("run_id",)).select("key", "value")
 
 
 @query_of("compact_mid", f"WITH {K}, {_AB} SELECT * FROM a UNION ALL SELECT * FROM b WHERE key NOT IN (SELECT key FROM a)")
@@ -387,8 +382,136 @@ def manifest_replay(spark, sf_dir):
 
 @query_of("wal_replay", f"WITH {K} SELECT key, arg_max(value, seq) AS value FROM k GROUP BY key")
 def wal_replay(spark, sf_dir):
-    """The log with checksums, verified and resolved."""
-    return resolve.newest(blocks.verified(blocks.with_checksum(events_log(spark, sf_dir))))
+    """A log written with its checksums by one store and read, verified and resolved by the next to open it."""
+    store = _store(spark)
+    store.put(events_log(spark, sf_dir).withColumnRenamed("seq", "ord"))
+    again = KVStore.open(spark, store.path, store.options)
+    return _texts(resolve.newest_rows(again.log()))
+
+
+# the store
+
+
+def _store(spark: SparkSession, **options) -> KVStore:
+    return KVStore.open(spark, scratch.folder(spark, "store"), Options(**{"run_size": 1 << 30, "strategy": Simple(200, 2, 2)} | options))
+
+
+def _texts(entries: DataFrame) -> DataFrame:
+    return entries.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+
+
+def _batch(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """A third of the events log. Later puts win, whatever the entries' numbers."""
+    return events_log(spark, sf_dir).filter(F.col("seq") % 3 == k).withColumnRenamed("seq", "ord")
+
+
+def _flushed(spark: SparkSession, sf_dir: str, batches: int = 3, **options) -> KVStore:
+    """A store with a run of level 0 for each batch."""
+    store = _store(spark, **options)
+    for k in range(batches):
+        store.put(_batch(spark, sf_dir, k))
+        store.force_freeze()
+        store.force_flush()
+    return store
+
+
+_PUT_ORDER = "CAST(seq % 3 AS HUGEINT) * 1000000000000000 + seq"
+P = f"p AS MATERIALIZED (SELECT seq % 3 AS batch, {_PUT_ORDER} AS place, key, value FROM k)"
+_LIVE_PUTS = "SELECT key, arg_max(value, place) AS value FROM p {where} GROUP BY key HAVING strlen(arg_max(value, place)) > 0"
+_THOUSAND = "WHERE key IN (SELECT printf('user_%05d_%02d', i, i % 7) FROM range(1000) AS t(i))"
+_LAST = f"l AS MATERIALIZED ({_LIVE_PUTS.format(where='')})"
+
+
+@query_of("store_put_get", f"WITH {K}, {P} {_LIVE_PUTS.format(where=_THOUSAND)}")
+def store_put_get(spark, sf_dir):
+    store = _store(spark)
+    for k in range(3):
+        store.put(_batch(spark, sf_dir, k))
+    return _texts(store.multi_get(spark.range(1000).select(F.format_string("user_%05d_%02d", "id", F.col("id") % 7).alias("key"))))
+
+
+@query_of("store_get", f"WITH {K}, {P}, {_LAST} SELECT key, value FROM l WHERE key = (SELECT min(key) FROM l) UNION ALL SELECT 'absent', NULL")
+def store_get(spark, sf_dir):
+    """Single gets past three runs' filters: a live key, and one that isn't there."""
+    store = _flushed(spark, sf_dir)
+    key = bytes(store.scan(limit=1).first()["key"])
+    rows = [(k.decode(), None if v is None else v.decode()) for k, v in ((key, store.get(key)), (b"absent", store.get(b"absent")))]
+    return spark.createDataFrame(rows, "key string, value string")
+
+
+@query_of("store_delete", f"WITH {K}, {P}, {_LAST} SELECT key, value FROM l WHERE key NOT IN (SELECT key FROM k WHERE seq % 10 = 0)")
+def store_delete(spark, sf_dir):
+    store = _flushed(spark, sf_dir)
+    store.delete(events_log(spark, sf_dir).filter("seq % 10 = 0").select("key").distinct().unionByName(spark.range(5).select(F.format_string("absent_%d", "id").alias("key"))))
+    return _texts(store.scan())
+
+
+@query_of("store_flush_scan", f"WITH {K}, {P} {_LIVE_PUTS.format(where=f"WHERE key >= '{LOW}' AND key < '{HIGH}'")}")
+def store_flush_scan(spark, sf_dir):
+    return _texts(_flushed(spark, sf_dir).scan(Bound.included(LOW.encode()), Bound.excluded(HIGH.encode())))
+
+
+@query_of("store_compact_scan", f"WITH {K}, {P}, {_LAST} SELECT * FROM l")
+def store_compact_scan(spark, sf_dir):
+    """Two batches compacted into several runs of level 1, a third above them in level 0."""
+    store = _flushed(spark, sf_dir, 2, run_size=64 << 10, memtable_limit=1)
+    store.compact()
+    store.put(_batch(spark, sf_dir, 2))
+    store.maintain()
+    return _texts(store.scan())
+
+
+@query_of("store_full_compaction", f"WITH {K}, {P}, {_LAST} SELECT 2 AS level, count(*) AS n, CAST(sum(strlen(key) + strlen(value)) AS BIGINT) AS bytes, min(key) AS first_key, max(key) AS last_key FROM l")
+def store_full_compaction(spark, sf_dir):
+    """All levels as the last one, without deleted keys."""
+    store = _flushed(spark, sf_dir)
+    store.full_compaction()
+    return store.catalog().groupBy("level").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.min("first_key").cast("string").alias("first_key"), F.max("last_key").cast("string").alias("last_key"))
+
+
+@query_of("store_reopen", f"WITH {K}, {P}, {_LAST} SELECT * FROM l")
+def store_reopen(spark, sf_dir):
+    """Two flushed batches and one that is only in the log, opened again."""
+    store = _flushed(spark, sf_dir, 2)
+    store.put(_batch(spark, sf_dir, 2))
+    return _texts(KVStore.open(spark, store.path, store.options).scan())
+
+
+@query_of("store_snapshot", f"WITH {K}, {P} {_LIVE_PUTS.format(where='WHERE batch < 2')}")
+def store_snapshot(spark, sf_dir):
+    """What two batches left, read after a third and a compaction."""
+    store = _flushed(spark, sf_dir, 2)
+    version = store.now.version
+    store.put(_batch(spark, sf_dir, 2))
+    store.compact()
+    return _texts(KVStore.open(spark, store.path, store.options, version).scan())
+
+
+@query_of(
+    "store_prune",
+    f"""WITH {K}, {P}, w AS (SELECT batch, key, arg_max(value, place) AS value FROM p GROUP BY 1, 2)
+SELECT batch AS pos, min(key) AS first_key, max(key) AS last_key, count(*) AS n, CAST(sum(strlen(key) + strlen(value)) AS BIGINT) AS bytes,
+  min(key) < '{HIGH}' AND max(key) >= '{LOW}' AS in_range, max(key) > 'user_00990_00' AS behind FROM w GROUP BY batch""",
+)
+def store_prune(spark, sf_dir):
+    """Runs with what the store keeps of them, and whether it would read them for two ranges."""
+    store = _flushed(spark, sf_dir)
+    ranges = {"in_range": (Bound.included(LOW.encode()), Bound.excluded(HIGH.encode())), "behind": (Bound.excluded(b"user_00990_00"), UNBOUNDED)}
+    out = store.catalog()
+    for name, bounds in ranges.items():
+        out = out.withColumn(name, F.col("run_id").isin(store.overlapping(*bounds)))
+    return out.select(F.col("pos").cast("long").alias("pos"), F.col("first_key").cast("string").alias("first_key"), F.col("last_key").cast("string").alias("last_key"), "n", "bytes", *ranges)
+
+
+@query_of("store_dump", "SELECT * FROM (VALUES ('mem', 1), ('imm', 1), ('L0', 0), ('L1', 0), ('L2', 1)) t(tier, n)")
+def store_dump(spark, sf_dir):
+    """Tiers after three batches, of which maintenance flushes two at a limit of two and compacts them as far as it goes."""
+    store = _store(spark, memtable_limit=2)
+    for k in range(3):
+        store.put(_batch(spark, sf_dir, k))
+        store.force_freeze()
+    store.maintain()
+    return spark.createDataFrame([(tier, len(ids)) for tier, ids in store.dump().items()], "tier string, n int")
 
 
 # hashes, filters, cache
@@ -404,11 +527,22 @@ def bloom_params(spark, sf_dir):
     return run_catalog(runs(spark, sf_dir)).select("run_id", "n", sketch.total_bits_column(n).alias("m"), sketch.hash_count_column(n).alias("k"))
 
 
-@query_of("bloom_probe")
+_POSITIONS = "list_transform(range(1, k + 1), lambda i: list_transform([(h % 4294967296 + CAST(i AS UHUGEINT) * (h // 4294967296)) % 4294967296], lambda x: CASE WHEN x < 2147483648 THEN CAST(x AS BIGINT) ELSE 4294967295 - CAST(x AS BIGINT) END)[1] % m)"
+
+
+@query_of(
+    "bloom_probe",
+    f"""WITH {K}, {R}, {RUNS}, m AS (SELECT run_id, n, CAST(floor(-n * ln(0.03) / pow(ln(2), 2)) AS BIGINT) AS m FROM c),
+f AS MATERIALIZED (SELECT run_id, m, greatest(1, CAST(round((m // n) * ln(2)) AS BIGINT)) AS k FROM m),
+h AS MATERIALIZED (SELECT run_id, key, {hash_sql.murmur64("key")} AS h FROM r),
+held AS MATERIALIZED (SELECT DISTINCT run_id, unnest({_POSITIONS}) AS bit FROM h JOIN f USING (run_id)),
+asked AS MATERIALIZED (SELECT run_id, key, unnest({_POSITIONS}) AS bit FROM (SELECT run_id + 1 AS run_id, key, h FROM h) JOIN f USING (run_id))
+SELECT run_id, key, bool_and(held.bit IS NOT NULL) AS maybe FROM asked LEFT JOIN held USING (run_id, bit) GROUP BY run_id, key""",
+)
 def bloom_probe(spark, sf_dir):
-    """Keys of all runs asked of the first."""
+    """Every run's keys asked of the run after it."""
     every = runs(spark, sf_dir).select("run_id", "key")
-    return sketch.probe(sketch.build(every), every.withColumn("run_id", F.lit(0).cast("long")))
+    return sketch.probe(sketch.build(every), every.withColumn("run_id", F.col("run_id") + 1))
 
 
 @query_of("bloom_members", f"WITH {K}, {R} SELECT run_id, key, true AS maybe FROM r")
@@ -418,12 +552,12 @@ def bloom_members(spark, sf_dir):
     return sketch.probe(sketch.build(every), every)
 
 
-@query_of("murmur64")
+@query_of("murmur64", f"WITH {K} SELECT seq, {hash_sql.signed(hash_sql.murmur64('key'), 64)} AS hash FROM k")
 def murmur64(spark, sf_dir):
     return events_log(spark, sf_dir).select("seq", sketch.hash64("key").alias("hash"))
 
 
-@query_of("murmur32")
+@query_of("murmur32", f"WITH {K} SELECT seq, {hash_sql.signed(hash_sql.murmur32('key'), 32)} AS hash FROM k")
 def murmur32(spark, sf_dir):
     return events_log(spark, sf_dir).select("seq", sketch.hash32("key").alias("hash"))
 
@@ -435,15 +569,25 @@ def block_reuse(spark, sf_dir):
     return reuse(events_log(spark, sf_dir).select("seq", F.expr(f"seq div {RUN}").alias("run_id"), block.alias("block")))
 
 
-@query_of("signed_scan", f"WITH {K} {LIVE.format(log='k', where='')} ORDER BY key LIMIT 50")
-def signed_scan(spark, sf_dir):
-    """ASCII keys sort alike by signed and by unsigned bytes."""
-    return query.scan(events_log(spark, sf_dir), signed=True, limit=50)
+CACHE_BLOCKS = 64
 
 
-@query_of("signed_scan_all", f"WITH {K} {LIVE.format(log='k', where='')} ORDER BY key")
-def signed_scan_all(spark, sf_dir):
-    """The whole scan in signed order; signed_scan is of its first 50 rows, as its SQL is."""
+@query_of(
+    "lru_hits",
+    f"""WITH {K}, t AS MATERIALIZED (SELECT seq, seq // 1000 AS run_id, CAST(substr(key, 6, 5) AS BIGINT) // 8 AS block FROM k),
+b AS MATERIALIZED (SELECT *, lag(seq) OVER (PARTITION BY run_id, block ORDER BY seq) AS before FROM t),
+d AS (SELECT b.seq, count(DISTINCT x.block) AS others FROM b JOIN t x ON x.run_id = b.run_id AND x.seq > b.before AND x.seq < b.seq GROUP BY b.seq)
+SELECT b.seq, b.run_id, b.block, before IS NOT NULL AND coalesce(others, 0) < {CACHE_BLOCKS} AS hit FROM b LEFT JOIN d USING (seq)""",
+)
+def lru_hits(spark, sf_dir):
+    """Reads of each run's blocks through a cache of its own: hits are blocks with few others read since."""
+    block = F.expr("cast(substr(key, 6, 5) as bigint) div 8")
+    return cache_hits(events_log(spark, sf_dir).select("seq", F.expr(f"seq div {RUN}").alias("run_id"), block.alias("block")), CACHE_BLOCKS)
+
+
+@query_of("signed_scan", f"WITH {K} {LIVE.format(log='k', where='')} ORDER BY key")
+def signed_scan(spark, sf_dir):
+    """The whole scan; ASCII keys sort alike by signed and by unsigned bytes."""
     return query.scan(events_log(spark, sf_dir), signed=True)
 
 
