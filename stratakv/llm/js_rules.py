@@ -7,8 +7,8 @@ distances (the square root of the divergence in bits, 0 to 1); its verdict looks
 than `MIN_WORDS` words are too short for a histogram and are not judged by it.
 
 The features are written once, one narrow row a document, so texts are scanned once. Every language has its reference:
-up to `MOST_LANGS` the plan holds them as literals, more go to each row as one broadcast array of the distinct ones, so
-the work is rows times distinct references.
+up to `MOST_LANGS` the plan holds them as literals, more as arrays of the distinct ones, of about `BLOCK_LANGS` languages
+each (under two megabytes), so the work is rows times distinct references.
 
 Defined cases: a null text has no words and fails the base rules, and so does an empty one; a null language adds to no
 reference; without any reference the divergence is null and nobody is rejected by it; a null id stays null; repeated rows
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .workdir import Table
 
 MIN_WORDS = 40
-MOST_LANGS = 64
+MOST_LANGS, BLOCK_LANGS = 64, 4096
 #: A text of n words is kept up to a distance of FAR + SHORT / sqrt(n): few words scatter more.
 FAR, SHORT = 0.17, 0.7
 SYMBOLS = "#*$%&|<>"
@@ -119,16 +119,19 @@ def references(rows: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, min_words: int = MIN_WORDS, far: float = FAR, short: float = SHORT) -> DataFrame:
     """Base counts, base_failed, kept, and the divergence that kept rests on."""
     rows = Table(features(docs), "rule-features").df
-    known = Table(references(rows), "rule-references").df
+    known = Table(references(rows), "rule-references").df  # a row a language
     both = F.struct(shares(F.col("char_hist")).alias("c"), shares(F.col("word_hist")).alias("w"))
     if len(few := known.orderBy("lang").limit(MOST_LANGS + 1).collect()) <= MOST_LANGS:
         pairs = [[[n / sum(h) for n in h] for h in (r["char_hist"], r["word_hist"])] for r in few if sum(r["char_hist"]) and sum(r["word_hist"])]
         near = lambda c, w: F.least(*[(distance(c, chars) + distance(w, words)) / 2 for chars, words in pairs] * (2 if len(pairs) == 1 else 1))
         apart = let(both, lambda x: near(x["c"], x["w"])) if pairs else F.lit(None).cast("double")
     else:
-        every = known.select(both.alias("r")).filter("r.c is not null and r.w is not null").agg(F.collect_set("r").alias("refs"))
-        rows = rows.crossJoin(F.broadcast(every))
-        apart = let(both, lambda x: F.array_min(F.transform("refs", lambda r: (distance(x["c"], r["c"]) + distance(x["w"], r["w"])) / 2)))
+        blocks = -(-known.count() // BLOCK_LANGS)
+        own = known.select("lang", both.alias("r")).filter("r.c is not null and r.w is not null")
+        held = {f"refs{b}": own.filter(F.pmod(F.xxhash64("lang"), F.lit(blocks)) == b).agg(F.collect_set("r")).scalar() for b in range(blocks)}
+        rows = rows.withColumns(held)
+        least = lambda x, refs: F.array_min(F.transform(refs, lambda r: (distance(x["c"], r["c"]) + distance(x["w"], r["w"])) / 2))
+        apart = let(both, lambda x: F.array_min(F.array(*[least(x, F.col(refs)) for refs in held])))
     judged = rows.withColumn("divergence", F.when(F.col("n_words") >= min_words, apart))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~F.coalesce(F.col("divergence") > far + short / F.sqrt("n_words"), F.lit(False))).alias("kept"), "divergence")
@@ -182,7 +185,7 @@ f AS MATERIALIZED (
 h AS MATERIALIZED (SELECT *, [up, dig, marks, chars - word_chars, word_chars - up - dig - marks] AS ch FROM f),
 refs AS MATERIALIZED (
   SELECT lang, {sums("ch", 5)} AS rc, {sums("wh", len(WORDS) + 1)} AS rw FROM h WHERE lang IS NOT NULL
-  GROUP BY lang ORDER BY count(*) DESC, lang LIMIT {MOST_LANGS}
+  GROUP BY lang
 ),
 near AS (
   SELECT h.k, min(({dist("ch", "rc")} + {dist("wh", "rw")}) / 2) AS divergence FROM h, refs WHERE n_words >= {MIN_WORDS} GROUP BY h.k
