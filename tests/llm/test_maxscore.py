@@ -17,9 +17,10 @@ def brute(rows, k, every):
     return sorted(out)
 
 
-@pytest.mark.parametrize("shard", [7, 8192])
-def test_against_brute_force(spark, monkeypatch, shard):
-    monkeypatch.setattr(maxscore, "SHARD_ROWS", shard)
+@pytest.mark.parametrize("shard,step,seed", [(7, 3, 13), (20, 8192, 5), (8192, 4, 2048)])
+def test_against_brute_force(spark, monkeypatch, shard, step, seed):
+    for name, value in (("SHARD_CELLS", 12 * shard), ("LEAST_ROWS", shard), ("STEP", step), ("SEED_ROWS", seed), ("BLOCK_CELLS", 48)):
+        monkeypatch.setattr(maxscore, name, value)
     rng = random.Random(shard)
     rows = [(i, [rng.gauss(0, 0.2) for _ in range(12)]) for i in range(60)]
     rows += [(i, [0.25] * 12) for i in range(60, 90)]  # ties
@@ -54,3 +55,17 @@ def test_rows_are_let_go():
     own, score = shard.top(-1, q, 10)
     want = np.sort(rows @ q)[::-1][:10]
     assert sorted(score, reverse=True)[:10] == want.tolist() and len(own) < 200
+
+
+def test_large_weights_stay_exact():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows = rng.integers(-(1 << 28), 1 << 28, (300, 16))
+    assert maxscore.number_type(rows, rows) is np.int64 and maxscore.number_type(rows >> 20, rows >> 20) is np.float64
+    for shift in (0, 20):
+        own = rows >> shift
+        shard = maxscore.Shard(np.arange(300), own, maxscore.number_type(own, own))
+        found, score = shard.top(5, own[5], 10)
+        every = np.delete(own @ own[5], 5)
+        assert sorted(score.tolist(), reverse=True)[:10] == np.sort(every)[::-1][:10].tolist() and 5 not in found
