@@ -1,14 +1,16 @@
 """Quality rules from built-in functions alone: base counts, and divergence from language references.
 
-Every text gives two histograms: its character classes (upper-case letters, digits, marks, white space, the rest) and its
-common words (a fixed list of four languages' commonest words, and all other words). A language's reference is the sum of
-the histograms of all rows of that language. The text's divergence from a reference is the mean of the two Jensen-Shannon
-distances (the square root of the divergence in bits, 0 to 1); its verdict looks at the nearest reference. Texts of fewer
-than `MIN_WORDS` words are too short for a histogram and are not judged by it.
-
-The features are written once, one narrow row a document, so texts are scanned once. Every language has its reference:
-up to `MOST_LANGS` the plan holds them as literals, more as arrays of the distinct ones, of about `BLOCK_LANGS` languages
-each (under two megabytes), so the work is rows times distinct references.
+Every text gives two histograms: its character classes (upper-case letters, digits, marks, white space, the rest) and,
+for each language, that language's `COMMON` commonest words and all other words. A language's words are counted over all
+rows of that language, ties going to the word that sorts first; its reference is the sum of the histograms of those rows.
+The text's divergence from a language is the mean of the two Jensen-Shannon distances (the square root of the divergence
+in bits, 0 to 1); its verdict looks at the nearest language. Texts of fewer than `MIN_WORDS` words are too short for a
+histogram and are not judged by it.
+
+The words are counted first, in one pass over the texts that combines before its shuffle; the features are written once
+in a second pass, one narrow row a document. Every language has its reference: up to `MOST_LANGS` the plan holds them as
+literals, more as arrays of about `BLOCK_LANGS` languages each (under two megabytes), so the work is rows times languages,
+and the driver holds `COMMON` words a language.
 
 Defined cases: a null text has no words and fails the base rules, and so does an empty one; a null language adds to no
 reference; without any reference the divergence is null and nobody is rejected by it; a null id stays null; repeated rows
@@ -17,7 +19,7 @@ are judged each; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .workdir import Table
@@ -29,14 +31,8 @@ FAR, SHORT = 0.17, 0.7
 SYMBOLS = "#*$%&|<>"
 SPACE = r"[\x20\x09-\x0D]+"
 
-# The commonest words of each language.
-COMMON = {
-    "en": "the of and to in is that for it as with was",
-    "fr": "de la le et les des en un une du que est",
-    "de": "der die und in den von zu das mit sich des auf",
-    "es": "de la que el en y los se del las por un",
-}
-WORDS = sorted({w for words in COMMON.values() for w in words.split()})
+COMMON = 13  # words of a language
+SALTS = 16  # parts in which a language's words are ranked first
 FIRST_CODE = 0x100  # code point of the first common word's character
 
 
@@ -70,8 +66,26 @@ def repeat_words(words: Column, window: int = 5) -> Column:
     return F.when(F.size(words) > window, let(let(hashed, of_words), of_hashes)).otherwise(F.lit(0)).cast("long")
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, base counts, and the two histograms as arrays."""
+def common_words(docs: DataFrame, n: int = COMMON) -> DataFrame:
+    """lang, word, count: the n words that are most frequent in a language's rows. Ranked in parts first, so that no task
+    holds a language's words."""
+    own = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter("lang is not null and text is not null")
+    counts = own.select("lang", F.explode(F.split("text", SPACE)).alias("word")).filter("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("count"))
+    for by in (["lang", F.pmod(F.xxhash64("word"), F.lit(SALTS))], ["lang"]):
+        first = Window.partitionBy(*by).orderBy(F.desc("count"), "word")
+        counts = counts.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= n).drop("nth")
+    return counts
+
+
+def coded(words: list[str]) -> Column:
+    """A character for each word, so that counting a word is counting a character; the code points of halves of pairs are
+    left out."""
+    point = lambda k: FIRST_CODE + k if FIRST_CODE + k < 0xD800 else FIRST_CODE + k + 0x800
+    return F.create_map(*[F.lit(x) for k, w in enumerate(words) for x in (w, chr(point(k)))]) if words else F.create_map().cast("map<string,string>")
+
+
+def features(docs: DataFrame, words: list[str]) -> DataFrame:
+    """doc_id, lang, base counts, the histogram of character classes, and the text's common words as characters."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     step = own.select(
@@ -83,15 +97,17 @@ def features(docs: DataFrame) -> DataFrame:
     )
     left = lambda pattern: F.length(F.regexp_replace("rest", pattern, ""))
     step = step.withColumns({"n_symbols": left(f"[^{SYMBOLS}]+").cast("long"), "upper": left(r"[^\p{Lu}]+"), "digits": left(r"[^0-9]+"), "marks": left(r"[\p{L}\p{N}\p{M}\x20\x09-\x0D]+")})
-    # each common word as one character, so that counting a word is counting a character
-    code = F.create_map(*[F.lit(x) for k, w in enumerate(WORDS) for x in (w, chr(FIRST_CODE + k))])
-    common = F.array_join(F.transform(F.filter("words", lambda w: w.isin(WORDS)), lambda w: code[w]), "")
+    code = coded(words)
+    common = F.array_join(F.transform(F.filter("words", lambda w: w.isin(words)), lambda w: code[w]), "") if words else F.lit("")
     step = step.withColumns({"n_words": F.size("words").cast("long"), "word_chars": F.length(F.array_join("words", "")).cast("long"), "n_repeat_words": repeat_words(F.col("words")), "common": common})
-    hits = [F.length("common") - F.length(F.replace("common", F.lit(chr(FIRST_CODE + k)), F.lit(""))) for k in range(len(WORDS))]
     white = F.col("chars") - F.col("word_chars")
     classes = [F.col("upper"), F.col("digits"), F.col("marks"), white, F.col("chars") - F.col("upper") - F.col("digits") - F.col("marks") - white]
-    as_array = lambda xs: F.array(*[x.cast("long") for x in xs])
-    return step.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", as_array(classes).alias("char_hist"), as_array([*hits, F.col("n_words") - F.length("common")]).alias("word_hist"))
+    return step.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.array(*[x.cast("long") for x in classes]).alias("char_hist"), "common")
+
+
+def times(code: Column) -> Column:
+    """How often a character is among the common words of a row."""
+    return F.length("common") - F.length(F.replace("common", code, F.lit("")))
 
 
 def shares(hist: Column) -> Column:
@@ -108,30 +124,44 @@ def distance(p: Column, q: list[float] | Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda a, y: a + y), F.lit(0.0)))
 
 
-def references(rows: DataFrame) -> DataFrame:
-    """One row a language: the sums of its rows' histograms."""
-    sums = []
-    for name, n in (("char_hist", 5), ("word_hist", len(WORDS) + 1)):
-        sums.append(F.array(*[F.sum(F.col(name)[i]) for i in range(n)]).alias(name))
-    return rows.filter(F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("n"), *sums)
+def references(rows: DataFrame, common: DataFrame, words: list[str]) -> DataFrame:
+    """lang, c, codes, w: a language's character classes as shares, its words' characters, and the shares of the words and
+    of all others. Languages without any word have none."""
+    code = coded(words)
+    listed = F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("less"), "word")))
+    tops = common.groupBy("lang").agg(listed.alias("top"))
+    sums = rows.filter(F.col("lang").isNotNull()).groupBy("lang").agg(F.array(*[F.sum(F.col("char_hist")[i]) for i in range(5)]).alias("chars"), F.sum("n_words").alias("n"))
+    counts = F.transform("top", lambda x: -x["less"])
+    others = F.col("n") - F.aggregate(counts, F.lit(0).cast("long"), lambda a, y: a + y)
+    return sums.join(tops, "lang").select("lang", shares(F.col("chars")).alias("c"), F.transform("top", lambda x: code[x["word"]]).alias("codes"), shares(F.concat(counts, F.array(others))).alias("w"))
 
 
 def judge(docs: DataFrame, min_words: int = MIN_WORDS, far: float = FAR, short: float = SHORT) -> DataFrame:
     """Base counts, base_failed, kept, and the divergence that kept rests on."""
-    rows = Table(features(docs), "rule-features").df
-    known = Table(references(rows), "rule-references").df  # a row a language
-    both = F.struct(shares(F.col("char_hist")).alias("c"), shares(F.col("word_hist")).alias("w"))
+    common = Table(common_words(docs), "common-words").df
+    words = sorted(r["word"] for r in common.select("word").distinct().collect())
+    rows = Table(features(docs, words), "rule-features").df
+    known = Table(references(rows, common, words), "rule-references").df  # a row a language
+    n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     if len(few := known.orderBy("lang").limit(MOST_LANGS + 1).collect()) <= MOST_LANGS:
-        pairs = [[[n / sum(h) for n in h] for h in (r["char_hist"], r["word_hist"])] for r in few if sum(r["char_hist"]) and sum(r["word_hist"])]
-        near = lambda c, w: F.least(*[(distance(c, chars) + distance(w, words)) / 2 for chars, words in pairs] * (2 if len(pairs) == 1 else 1))
-        apart = let(both, lambda x: near(x["c"], x["w"])) if pairs else F.lit(None).cast("double")
+        codes = sorted({c for r in few for c in r["codes"]})
+        at = {c: i for i, c in enumerate(codes)}
+        both = F.struct(shares(F.col("char_hist")).alias("c"), F.array(*[times(F.lit(c)) / n for c in codes]).alias("h"), F.lit(0.0).alias("none"))
+
+        def away(x: Column, r) -> Column:
+            own = [x["h"][at[c]] for c in r["codes"]]
+            rest = 1.0 - sum(own, x["none"])
+            return (distance(x["c"], r["c"]) + distance(F.array(*own, rest), r["w"])) / 2
+
+        apart = let(both, lambda x: F.least(*[away(x, r) for r in few] * (2 if len(few) == 1 else 1))) if few else F.lit(None).cast("double")
     else:
         blocks = -(-known.count() // BLOCK_LANGS)
-        own = known.select("lang", both.alias("r")).filter("r.c is not null and r.w is not null")
-        held = {f"refs{b}": own.filter(F.pmod(F.xxhash64("lang"), F.lit(blocks)) == b).agg(F.collect_set("r")).scalar() for b in range(blocks)}
+        held = {f"refs{b}": known.filter(F.pmod(F.xxhash64("lang"), F.lit(blocks)) == b).agg(F.collect_list(F.struct("c", "codes", "w"))).scalar() for b in range(blocks)}
         rows = rows.withColumns(held)
-        least = lambda x, refs: F.array_min(F.transform(refs, lambda r: (distance(x["c"], r["c"]) + distance(x["w"], r["w"])) / 2))
-        apart = let(both, lambda x: F.array_min(F.array(*[least(x, F.col(refs)) for refs in held])))
+        own = lambda r: F.transform(r["codes"], lambda c: times(c) / n)
+        full = lambda h: F.concat(h, F.array(1.0 - F.aggregate(h, F.lit(0.0), lambda a, y: a + y)))
+        least = lambda x, refs: F.array_min(F.transform(refs, lambda r: (distance(x, r["c"]) + distance(let(own(r), full), r["w"])) / 2))
+        apart = let(shares(F.col("char_hist")), lambda x: F.array_min(F.array(*[least(x, F.col(refs)) for refs in held])))
     judged = rows.withColumn("divergence", F.when(F.col("n_words") >= min_words, apart))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~F.coalesce(F.col("divergence") > far + short / F.sqrt("n_words"), F.lit(False))).alias("kept"), "divergence")
@@ -142,10 +172,6 @@ def verdicts(docs: DataFrame) -> DataFrame:
 
 
 def _oracle() -> str:
-    listed = ", ".join(f"'{w}'" for w in WORDS)
-    count = lambda cond: f"CAST(count(*) FILTER (WHERE {cond}) AS DOUBLE)"
-    word_counts = ", ".join([*(count(f"w = '{w}'") for w in WORDS), count(f"w NOT IN ({listed})")])
-    empty = ", ".join(["0.0"] * (len(WORDS) + 1))
     sums = lambda name, n: "[" + ", ".join(f"sum({name}[{i}])" for i in range(1, n + 1)) + "]"
 
     def dist(p: str, q: str) -> str:
@@ -159,7 +185,10 @@ w AS MATERIALIZED (
   SELECT k, generate_subscripts(ws, 1) AS i, unnest(ws) AS w
   FROM (SELECT k, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM d)
 ),
-n AS (SELECT k, count(*) AS n_words, sum(length(w)) AS word_chars, [{word_counts}] AS wh FROM w GROUP BY k),
+n AS (SELECT k, count(*) AS n_words, sum(length(w)) AS word_chars FROM w GROUP BY k),
+wl AS (SELECT lang, w, count(*) AS c FROM w JOIN d USING (k) WHERE lang IS NOT NULL GROUP BY lang, w),
+top AS MATERIALIZED (SELECT lang, w, c, nth FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY c DESC, w) AS nth FROM wl) WHERE nth <= {COMMON}),
+dw AS MATERIALIZED (SELECT k, w, count(*) AS c FROM w WHERE w IN (SELECT w FROM top) GROUP BY k, w),
 win AS (
   SELECT k, i, w || chr(31) || lead(w, 1) OVER o || chr(31) || lead(w, 2) OVER o || chr(31) || lead(w, 3) OVER o || chr(31) || lead(w, 4) OVER o AS five
   FROM w WINDOW o AS (PARTITION BY k ORDER BY i)
@@ -178,17 +207,20 @@ f AS MATERIALIZED (
     CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
     CAST(length(regexp_replace(text, '[^\\p{{Lu}}]+', '', 'g')) AS DOUBLE) AS up, CAST(length(regexp_replace(text, '[^0-9]+', '', 'g')) AS DOUBLE) AS dig,
-    CAST(length(regexp_replace(text, '[\\p{{L}}\\p{{N}}\\p{{M}}\\x20\\x09-\\x0D]+', '', 'g')) AS DOUBLE) AS marks, CAST(length(text) AS DOUBLE) AS chars,
-    coalesce(wh, [{empty}]) AS wh
+    CAST(length(regexp_replace(text, '[\\p{{L}}\\p{{N}}\\p{{M}}\\x20\\x09-\\x0D]+', '', 'g')) AS DOUBLE) AS marks, CAST(length(text) AS DOUBLE) AS chars
   FROM d LEFT JOIN n USING (k) LEFT JOIN rep USING (k) LEFT JOIN lines USING (k)
 ),
 h AS MATERIALIZED (SELECT *, [up, dig, marks, chars - word_chars, word_chars - up - dig - marks] AS ch FROM f),
 refs AS MATERIALIZED (
-  SELECT lang, {sums("ch", 5)} AS rc, {sums("wh", len(WORDS) + 1)} AS rw FROM h WHERE lang IS NOT NULL
-  GROUP BY lang
+  SELECT lang, any_value(rc) AS rc, list(c ORDER BY nth) || [any_value(t) - sum(c)] AS rw
+  FROM top JOIN (SELECT lang, {sums("ch", 5)} AS rc, sum(n_words) AS t FROM h WHERE lang IS NOT NULL GROUP BY lang) USING (lang) GROUP BY lang
+),
+own AS (
+  SELECT h.k, t.lang, list(coalesce(dw.c, 0) ORDER BY nth) || [any_value(h.n_words) - sum(coalesce(dw.c, 0))] AS wh
+  FROM h CROSS JOIN (SELECT lang, w, nth FROM top) t LEFT JOIN dw ON dw.k = h.k AND dw.w = t.w WHERE h.n_words >= {MIN_WORDS} GROUP BY h.k, t.lang
 ),
 near AS (
-  SELECT h.k, min(({dist("ch", "rc")} + {dist("wh", "rw")}) / 2) AS divergence FROM h, refs WHERE n_words >= {MIN_WORDS} GROUP BY h.k
+  SELECT k, min(({dist("ch", "rc")} + {dist("CAST(wh AS DOUBLE[])", "CAST(rw AS DOUBLE[])")}) / 2) AS divergence FROM own JOIN h USING (k) JOIN refs ON refs.lang = own.lang GROUP BY k
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
