@@ -48,7 +48,7 @@ GROUP = 1000
 BLOCK_GRAMS, BLOCK_SETS = 500_000, 8192  # of a task's block at most
 SPLIT_GRAMS, SPLIT_SETS = 64_000, 128  # groups beyond either are split into blocks of these sizes
 SPLITS = 16  # up to so many, and into more only where the bounds of a block ask for it
-CELLS = 8 << 20  # of an incidence matrix
+CELLS = 4 << 20  # of an incidence matrix
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -519,7 +519,8 @@ def verified(docs: DataFrame, reps: DataFrame, coarse: DataFrame, levels: np.nda
             out[2] += [None] * len(forest) + links[some].tolist()
         return pa.table([pa.array(c, pa.int64()) for c in out], names=["a", "b", "links"])
 
-    out = Table(spread.groupBy("g1", "g2").applyInArrow(linked, "a long, b long, links long"), "links")
+    # ranges are even in rows, whatever the groups' sizes
+    out = Table(spread.repartitionByRange("g1", "g2").groupBy("g1", "g2").applyInArrow(linked, "a long, b long, links long"), "links")
     sets.drop()
     return out
 
