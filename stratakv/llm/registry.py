@@ -73,4 +73,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_maxscore": maxscore.ORACLE_SQL, "op3_warc": warc.ORACLE_SQL, "op4_ngram_trie": ngram_trie.ORACLE_SQL, "op6_rules": js_rules.ORACLE_SQL}
+    return {
+        "op2_maxscore": maxscore.ORACLE_SQL,
+        "op3_warc": warc.ORACLE_SQL,
+        "op4_ngram_trie": ngram_trie.ORACLE_SQL,
+        "op5_suffix_dedup": suffix_dedup.ORACLE_SQL,
+        "op6_rules": js_rules.ORACLE_SQL,
+    }

@@ -49,6 +49,19 @@ HELD_ROWS = 3000
 
 _A, _B = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
+#: Every string of 200 bytes of every text by its MD5, runs of those met twice, and what is left around them.
+ORACLE_SQL = """WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS MATERIALIZED (SELECT r, p, md5(array_slice(b, p + 1, p + 200)) AS s FROM (SELECT r, b, unnest(range(octet_length(b) - 199)) AS p FROM d)),
+t AS MATERIALIZED (SELECT r, p FROM w JOIN (SELECT s FROM w GROUP BY s HAVING count(*) > 1) USING (s)),
+o AS (SELECT r, p, CAST(coalesce(p > lag(p) OVER (PARTITION BY r ORDER BY p) + 200, true) AS INT) AS opens FROM t),
+g AS (SELECT r, p, sum(opens) OVER (PARTITION BY r ORDER BY p) AS g FROM o),
+gone AS (SELECT r, min(p) AS a, max(p) + 200 AS z FROM g GROUP BY r, g),
+gaps AS (SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS k FROM gone),
+cut AS (SELECT r, count(*) AS n, sum(z - a) AS removed, max(z) AS last, string_agg(hex(array_slice(b, k + 1, a)), '' ORDER BY a) AS h FROM gaps JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans,
+  sha256(CASE WHEN n IS NULL THEN b ELSE unhex(h || hex(array_slice(b, last + 1, octet_length(b)))) END) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)"""
+
 
 def row_key() -> Column:
     return F.xxhash64("doc_id", "text")

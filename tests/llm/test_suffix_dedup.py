@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -55,6 +56,15 @@ def test_against_brute_force(make_docs, monkeypatch, chunk):
     assert sorted(repr(tuple(r)) for r in got) == expected(rows, 200)
 
 
+@pytest.mark.parametrize("seed", [5, 6])
+def test_sql_against_brute_force(seed):
+    rows = corpus(seed)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [list(r) for r in rows])
+    assert sorted(repr(r) for r in con.execute(sd.ORACLE_SQL).fetchall()) == expected(rows, 200)
+
+
 def test_parts_of_long_texts(monkeypatch):
     monkeypatch.setattr(sd, "CHUNK", 512)
     rng = random.Random(3)
