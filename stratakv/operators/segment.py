@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SIZED = "seq long, size long"
+FROZEN = "seq long, size long, segment_id long"
+CHUNK_SEGMENTS = 32  # segments that a chunk of the log should hold, so that what chunks say of themselves is little
+ALWAYS = (1 << 63) - 1  # room in which the whole of any chunk fits
+CHUNK_BITS = (16, 22)  # entries of a chunk, at least and at most, as powers of two
 
 
 def entry_size(log: DataFrame) -> DataFrame:
@@ -15,32 +20,85 @@ def entry_size(log: DataFrame) -> DataFrame:
     return log.withColumn("size", (F.octet_length("key") + F.octet_length("value")).cast("long"))
 
 
-def frozen_ids(sizes: np.ndarray, threshold: int) -> np.ndarray:
-    """Segment of each entry in order: the entry that reaches the threshold ends its segment."""
+def frozen_ids(sizes: np.ndarray, threshold: int, held: int = 0) -> np.ndarray:
+    """Segment of each entry in order: the entry that reaches the threshold ends its segment. The first segment holds
+    `held` bytes already."""
     total = np.cumsum(sizes)
     out = np.zeros(len(sizes), dtype=np.int64)
-    start, segment = 0, 0
+    start, segment, base = 0, 0, -held
     while start < len(sizes):
-        held = total[start - 1] if start else 0
-        stop = int(np.searchsorted(total, held + threshold, side="left")) + 1
+        stop = int(np.searchsorted(total, base + threshold, side="left")) + 1
         out[start:stop] = segment
+        base = total[min(stop, len(sizes)) - 1]
         start, segment = stop, segment + 1
     return out
 
 
-def freeze(log: DataFrame, threshold: int, shard: str | None = None) -> DataFrame:
-    """seq, size, segment_id. The fold is sequential in each shard of the log (one writer's entries, the unit that grows
-    with writers and not with the store) and takes sixteen bytes an entry; within it, each segment is one binary search
-    in running sums."""
-    sized = entry_size(log).select("seq", "size", (F.col(shard) if shard else F.lit(0)).cast("long").alias("shard"))
+def transitions(sizes: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What a chunk of the log does to a segment that comes into it with room for `room` bytes. The first row with
+    upto >= room holds the number of segments that end in the chunk and the bytes that the last one is left with; if there
+    is none, no segment ends. Rows of equal outcome are one: segments that start apart soon end together."""
+    total = np.cumsum(sizes)
+    first = total[: int(np.searchsorted(total, threshold, side="left")) + 1]
+    base, ends = first.copy(), np.ones(len(first), dtype=np.int64)
+    going = np.arange(len(first))
+    while len(going):
+        stop = np.searchsorted(total, base[going] + threshold, side="left")
+        going, stop = going[stop < len(total)], stop[stop < len(total)]
+        base[going] = total[stop]
+        ends[going] += 1
+    left = total[-1:] - base
+    last = np.append((ends[1:] != ends[:-1]) | (left[1:] != left[:-1]), np.ones(min(1, len(first)), dtype=bool))
+    return first[last], ends[last], left[last]
+
+
+def _chunk_bits(sized: DataFrame, threshold: int) -> int:
+    n, size, low, high = sized.agg(F.count("*"), F.sum("size"), F.min("seq"), F.max("seq")).first()
+    if not n or not size:
+        return CHUNK_BITS[0]
+    wanted = CHUNK_SEGMENTS * threshold * (high - low + 1) // size
+    return min(max(int(wanted).bit_length(), CHUNK_BITS[0]), CHUNK_BITS[1])
+
+
+def freeze(log: DataFrame, threshold: int, bits: int | None = None) -> DataFrame:
+    """seq, size, segment_id of one writer's log; seq is unique.
+
+    The fold is sequential by definition, so it is done twice over chunks of 2 ** bits sequence numbers, all at once: first
+    each chunk says what it does to any segment that comes into it, a walk over these short tables gives each chunk its
+    first segment and the bytes in it, and then the chunks are cut. A chunk takes sixteen bytes an entry."""
+    sized = entry_size(log).select(F.col("seq").cast("long").alias("seq"), "size")
+    bits = _chunk_bits(sized, threshold) if bits is None else bits
+    chunked = sized.withColumn("chunk", F.shiftright("seq", bits))
+
+    def told(rows: pa.Table) -> pa.Table:
+        sizes = rows.sort_by("seq")["size"].to_numpy()
+        upto, ends, left = (np.append(x, y) for x, y in zip(transitions(sizes, threshold), (ALWAYS, 0, sizes.sum())))
+        return pa.table({"chunk": np.repeat(rows["chunk"][0].as_py(), len(upto)), "upto": upto, "ends": ends, "left": left})
+
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, segment, done = 0, 0, None
+        for batch in batches:
+            chunk, upto, ends, left = (batch.column(c).to_numpy() for c in range(4))
+            out = []
+            stops = [*(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
+            for start, stop in zip([0, *stops], stops):
+                at = start + int(np.searchsorted(upto[start:stop], threshold - held, side="left"))
+                if start == stop or chunk[start] == done or at == stop:
+                    continue
+                out.append((int(chunk[at]), held, segment))
+                done = chunk[at]
+                held = int(left[at]) + (held if upto[at] == ALWAYS else 0)
+                segment += int(ends[at])
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], ["chunk", "held", "segment"])
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        rows["segment_id"] = frozen_ids(rows["size"].to_numpy(), threshold)
-        return rows[["shard", "seq", "size", "segment_id"]]
+    def cut(rows: pa.Table, first: pa.Table) -> pa.Table:
+        rows = rows.sort_by("seq")
+        ids = frozen_ids(rows["size"].to_numpy(), threshold, first["held"][0].as_py()) + first["segment"][0].as_py()
+        return pa.table([rows["seq"], rows["size"], pa.array(ids)], names=["seq", "size", "segment_id"])
 
-    out = sized.groupBy("shard").applyInPandas(fold, "shard long, seq long, size long, segment_id long")
-    return out if shard else out.drop("shard")
+    tables = chunked.groupBy("chunk").applyInArrow(told, "chunk long, upto long, ends long, left long")
+    firsts = tables.repartition(1).sortWithinPartitions("chunk", "upto").mapInArrow(walked, "chunk long, held long, segment long")
+    return chunked.groupBy("chunk").cogroup(firsts.groupBy("chunk")).applyInArrow(cut, FROZEN)
 
 
 def segments(frozen: DataFrame) -> DataFrame:

@@ -115,6 +115,20 @@ def test_folds_against_plain_loops():
         assert blocks.packed_blocks(np.array(sizes, dtype=int), t).tolist() == want
 
 
+@pytest.mark.parametrize("threshold", [1, 7, 90, 2000, 10**6])
+def test_chunks_of_a_log_freeze_as_the_whole(spark, threshold):
+    import numpy as np
+
+    rng = random.Random(threshold)
+    seqs = sorted(rng.sample(range(-300, 3000), 1200))
+    sizes = [rng.choice([1, 5, 5, 40]) for _ in seqs]
+    log = spark.createDataFrame([(i, "k", "v" * (n - 1)) for i, n in zip(seqs, sizes)], "seq long, key string, value string")
+    want = list(zip(seqs, sizes, segment.frozen_ids(np.array(sizes), threshold).tolist()))
+    for bits, batch in ((3, "10000"), (7, "3"), (None, "10000")):  # a table of a chunk comes in parts, too
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        assert sorted(tuple(r) for r in segment.freeze(log.repartition(5), threshold, bits).collect()) == want
+
+
 def test_flush_states(spark):
     segments = spark.createDataFrame([(i, 1) for i in range(5)], "segment_id long, n int")
     got = {r.segment_id: r.state for r in segment.flushable(segments, 2).collect()}
