@@ -5,10 +5,10 @@ corpus come last (frequency by a counting sketch over all documents, of fixed si
 must share an n-gram within the first n - ceil(s * n) + 1 of each.
 
 1. Equal sets become one class at once (a grouped minimum), so copies cost nothing further.
-2. Prefix n-grams met by two classes or more propose links. N-grams with the same members propose once. Up to
-   `GROUP` members, pairs are held against each other by length and by parity bitmaps (the number of differing bits is
-   at most the size of the symmetric difference, so no link is lost), and only a spanning forest of what passes goes on;
-   beyond, all members are proposed together. Neither way puts out the pairs of a group.
+2. Prefix n-grams met by two classes or more propose links. N-grams with the same members propose once. Pairs are held
+   against each other by length and by parity bitmaps (the number of differing bits is at most the size of the symmetric
+   difference, so no link is lost), and only a spanning forest of what passes goes on. Beyond `GROUP` members a task holds
+   two blocks of that size, dealt as in 3; unlike texts that share a line are not proposed, however many they are.
 3. Proposals' components are where links can be. Each is a group of sets for the prefix trees. Small groups share tasks; a
    large one is cut into bands of lengths, so that only sets of the same or neighbouring bands can link, and a band into
    blocks, so that a task holds two blocks whatever the group's size. Every two blocks that can hold a link meet once.
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .textbytes import flat, mix, prefix_hashes, runs, slice_hashes
-from .workdir import Scratch, Table, prepare
+from .workdir import Scratch, Table, freeing_shuffles, prepare
 
 CHUNK = 1 << 18  # bytes hashed at a time, at about 60 bytes of memory each
 SKETCH_BITS = 20
@@ -130,7 +130,9 @@ def _chunks(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def sketch_levels(docs: DataFrame, n: int) -> np.ndarray:
-    """0 for counters up to eight times the mean, one more for each doubling. The table that comes to the driver has a
+    """0 for counters that stand out of what all share by no more than chance, one more for each doubling beyond. What rare
+    n-grams leave in every counter is their median; it grows with the table, its scatter only with the root, so an n-gram
+    of a small share of the rows is told from rare ones in tables of any size. The table that comes to the driver has a
     fixed size."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,12 +153,18 @@ def sketch_levels(docs: DataFrame, n: int) -> np.ndarray:
             total += np.frombuffer(x, dtype="<u2")
         return pa.table([pa.array([rows["piece"][0].as_py()], pa.int32()), pa.array([total.astype("<u8").tobytes()], pa.binary())], names=["piece", "counts"])
 
-    parts = docs.select("text").mapInArrow(count, "piece int, counts binary")
+    with freeing_shuffles(docs.sparkSession):
+        found = docs.select("text").mapInArrow(count, "piece int, counts binary").groupBy("piece").applyInArrow(add, "piece int, counts binary").collect()
     total = np.zeros((1 << SKETCH_BITS) // PIECE * PIECE, dtype=np.uint64).reshape(-1, PIECE)
-    for row in parts.groupBy("piece").applyInArrow(add, "piece int, counts binary").collect():
+    for row in found:
         total[row["piece"]] = np.frombuffer(row["counts"], dtype="<u8")
-    over = total.reshape(-1) // np.uint64(8 * int(total.mean()) + 8)
-    return np.minimum(np.frexp(over.astype(float))[1], 15).astype(np.uint8)
+    return counter_levels(total.reshape(-1))
+
+
+def counter_levels(total: np.ndarray) -> np.ndarray:
+    above = total.astype(float) - np.median(total)
+    step = 8 + 4 * max(1.4826 * float(np.median(np.abs(above))), float(np.sqrt(np.median(total))))
+    return np.minimum(np.frexp(np.maximum(above, 0) // step)[1], 15).astype(np.uint8)
 
 
 def prefix_length(n: np.ndarray | int, num: int, den: int):
@@ -220,9 +228,11 @@ def differing(x: bytes, y: bytes) -> int:
     return (a ^ b).bit_count()
 
 
-def passing(keys: list[int], sizes: list[int], marks: list[bytes], num: int, den: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs that lengths and parity bitmaps don't rule out, as pairs of keys."""
+def passing(keys: list[int], sizes: list[int], marks: list[bytes], sides: list[int], num: int, den: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that lengths and parity bitmaps don't rule out, as pairs of keys. sides: all 2 for the
+    pairs of one block, 0 and 1 for those between two."""
     order = sorted(range(len(keys)), key=lambda i: (sizes[i], keys[i]))
+    side = np.array([sides[i] for i in order])
     bits = [np.frombuffer(marks[i], dtype=np.uint8) for i in order]
     size = np.array([sizes[i] for i in order])
     out = []
@@ -232,7 +242,7 @@ def passing(keys: list[int], sizes: list[int], marks: list[bytes], num: int, den
     for x in range(len(order) - 1):
         stop = int(np.searchsorted(size, size[x] * den // num, side="right"))
         others = np.arange(x + 1, stop)
-        others = others[label[others] != label[x]]
+        others = others[(label[others] != label[x]) & ((side[others] != side[x]) | (side[x] == 2))]
         if not len(others):
             continue
         w = int(widths[x])
@@ -373,10 +383,12 @@ def labelled(docs: DataFrame, n: int, num: int, den: int) -> tuple[Table, Table]
     prepare(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     levels = sketch_levels(own, n)
-    rows, scratch = Table(signatures(own, levels, n, num, den), "signatures"), Scratch()
+    signed, scratch = Table(signatures(own, levels, n, num, den), "signatures"), Scratch()
     last = F.lit((1 << 63) - 1)
     rep = F.min(F.struct(F.coalesce("doc_id", last).alias("least"), "text_hash", "n_shingles", "prefix", "parity")).alias("r")
-    reps = scratch.table(rows.df.filter("key is not null").groupBy("key").agg(rep, F.count("*").alias("copies")).select("key", "copies", "r.*"), "classes")
+    reps = scratch.table(signed.df.filter("key is not null").groupBy("key").agg(rep, F.count("*").alias("copies")).select("key", "copies", "r.*"), "classes")
+    rows = Table(signed.df.select("doc_id", "n_shingles", "key", "text_hash"), "rows")  # the prefixes are in reps
+    signed.drop()
     coarse = components(proposals(reps, num, den, scratch))
     found = verified(own, reps, coarse.df, levels, n, num, den)
     labels = components(found.df.filter("b is not null").select("a", "b"))
@@ -416,9 +428,14 @@ def proposals(reps: DataFrame, num: int, den: int, scratch: Scratch) -> DataFram
     pairs = groups.filter("m = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
     for end in ("a", "b"):
         pairs = pairs.join(marked.select(F.col("key").alias(end), F.col("n_shingles").alias(f"n_{end}"), F.col("parity").alias(f"parity_{end}")), end)
-    members = tokens.join(groups.filter("m > 2").select("token", "m", "lo"), "token")
-    large = members.filter(F.col("m") > GROUP).select(F.col("lo").alias("a"), F.col("key").alias("b"))
-    small = members.filter(F.col("m") <= GROUP).select("token", "key").join(marked, "key")
+    whole = F.array(F.struct(F.lit(-1).cast("long").alias("g2"), F.lit(2).alias("side")))
+    small = tokens.join(groups.filter((F.col("m") > 2) & (F.col("m") <= GROUP)).select("token"), "token").withColumn("meets", whole)
+    wide = scratch.table(groups.filter(F.col("m") > GROUP).select("token"), "wide-groups")
+    large = tokens.join(wide, "token").withColumn("band", band_of(F.col("n_shingles"), num, den))
+    bands = scratch.table(large.groupBy("token", "band").agg(F.ceil(F.count("*") / GROUP).cast("long").alias("own")), "wide-bands")
+    large = large.join(near_bands(bands, "token", scratch), ["token", "band"]).withColumn("meets", block_meetings())
+    dealt = small.select("token", "key", "meets").unionByName(large.select("token", "key", "meets")).join(marked, "key")
+    dealt = dealt.select("token", "key", "n_shingles", "parity", F.explode("meets").alias("m")).select("token", "key", "n_shingles", "parity", "m.g2", "m.side")
 
     def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -428,42 +445,56 @@ def proposals(reps: DataFrame, num: int, den: int, scratch: Scratch) -> DataFram
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(stay, pa.bool_()))
 
     def forest(rows: pa.Table) -> pa.Table:
-        out = passing(rows["key"].to_pylist(), rows["n_shingles"].to_pylist(), rows["parity"].to_pylist(), num, den)
+        out = passing(*(rows[c].to_pylist() for c in ("key", "n_shingles", "parity", "side")), num, den)
         return pa.table([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     schema = "a long, b long"
     passed = pairs.select("a", "b", "n_a", "n_b", "parity_a", "parity_b").mapInArrow(filtered, schema)
-    return passed.unionByName(large).unionByName(small.groupBy("token").applyInArrow(forest, schema))
+    return passed.unionByName(dealt.groupBy("token", "g2").applyInArrow(forest, schema))
+
+
+def band_of(size, num: int, den: int):
+    """Linked sets are at most one band apart."""
+    return F.floor(F.log(size.cast("double")) / float(np.log(den / num * 1.0001))).cast("long")
+
+
+def near_bands(bands: DataFrame, group: str, scratch: Scratch) -> DataFrame:
+    """bands (group, band, own: its number of blocks) with the blocks of the band after it and the one ahead, null if none."""
+    near = bands.alias("x")
+    for name, by in (("after", 1), ("ahead", -1)):
+        near = near.join(bands.select(F.col(group).alias("c"), (F.col("band") - by).alias("b"), F.col("own").alias(name)), (F.col(group) == F.col("c")) & (F.col("band") == F.col("b")), "left").drop("c", "b")
+    return scratch.table(near, "near-bands")
+
+
+def block_meetings():
+    """Of a set, by its columns key, band, own, after and ahead: the tasks (g2) of two blocks where it is asked for, and on
+    which side. Every two blocks of a band, and of a band and the next, meet once."""
+    task = lambda band, kind, i, j: (((band * 2 + kind) * (1 << 20) + i) * (1 << 20) + j).cast("long")
+    meet = lambda g2, side: F.struct(g2.alias("g2"), side.cast("int").alias("side"))
+    i, band = F.pmod(F.xxhash64("key"), "own"), F.col("band")
+    each = lambda count, body: F.when(count > 0, F.transform(F.sequence(F.lit(0).cast("long"), count - 1), body)).otherwise(F.array().cast("array<struct<g2:long,side:int>>"))
+    inner = each(F.col("own"), lambda j: meet(task(band, F.lit(0), F.least(i, j), F.greatest(i, j)), F.when(i == j, 2).when(i < j, 0).otherwise(1)))
+    outer = each(F.coalesce("after", F.lit(0)), lambda j: meet(task(band, F.lit(1), i, j), F.lit(0)))
+    inward = each(F.coalesce("ahead", F.lit(0)), lambda j: meet(task(band - 1, F.lit(1), j, i), F.lit(1)))
+    return F.concat(inner, outer, inward)
 
 
 def meetings(wanted: DataFrame, num: int, den: int, tasks: int, scratch: Scratch) -> DataFrame:
     """wanted (key, least, text_hash, copies, n_shingles, comp) with `meets`: the tasks (g1, g2) where the set is asked for,
     and on which side of the tree."""
-    ratio = den / num * 1.0001  # linked sets are at most one band apart
     grams, sets = F.sum("n_shingles"), F.count("*")
     sized = wanted.groupBy("comp").agg(((grams > SPLIT_GRAMS) | (sets > SPLIT_SETS)).alias("large"), grams.alias("grams"))
     sized = scratch.table(sized, "coarse-sizes")
     total = sized.filter("not large").agg(F.sum("grams")).first()[0] or 0
     bundles = max(tasks, -(-int(total) // BLOCK_GRAMS))
-    wanted = scratch.table(wanted.join(sized.select("comp", "large"), "comp").withColumn("band", F.when(F.col("large"), F.floor(F.log(F.col("n_shingles").cast("double")) / float(np.log(ratio)))).otherwise(0).cast("long")), "banded")
+    wanted = scratch.table(wanted.join(sized.select("comp", "large"), "comp").withColumn("band", F.when(F.col("large"), band_of(F.col("n_shingles"), num, den)).otherwise(0).cast("long")), "banded")
     fine = F.greatest(F.ceil(grams / SPLIT_GRAMS), F.ceil(sets / SPLIT_SETS))
     blocks = F.greatest(F.least(fine, F.lit(SPLITS)), F.ceil(grams / BLOCK_GRAMS), F.ceil(sets / BLOCK_SETS)).cast("long")
     bands = scratch.table(wanted.filter("large").groupBy("comp", "band").agg(blocks.alias("own")), "bands")
-    near = bands.alias("x")
-    for name, by in (("after", 1), ("ahead", -1)):
-        near = near.join(bands.select(F.col("comp").alias("c"), (F.col("band") - by).alias("b"), F.col("own").alias(name)), (F.col("comp") == F.col("c")) & (F.col("band") == F.col("b")), "left").drop("c", "b")
-    near = scratch.table(near, "near-bands")
-    split = wanted.filter("large").join(near, ["comp", "band"]).withColumn("block", F.pmod(F.xxhash64("key"), "own"))
-    task = lambda band, kind, i, j: (((band * 2 + kind) * (1 << 20) + i) * (1 << 20) + j).cast("long")
-    meet = lambda g2, side: F.struct(g2.alias("g2"), side.cast("int").alias("side"))
-    i, band = F.col("block"), F.col("band")
-    each = lambda count, body: F.when(count > 0, F.transform(F.sequence(F.lit(0).cast("long"), count - 1), body)).otherwise(F.array().cast("array<struct<g2:long,side:int>>"))
-    inner = each(F.col("own"), lambda j: meet(task(band, F.lit(0), F.least(i, j), F.greatest(i, j)), F.when(i == j, 2).when(i < j, 0).otherwise(1)))
-    outer = each(F.coalesce("after", F.lit(0)), lambda j: meet(task(band, F.lit(1), i, j), F.lit(0)))
-    inward = each(F.coalesce("ahead", F.lit(0)), lambda j: meet(task(band - 1, F.lit(1), j, i), F.lit(1)))
+    split = wanted.filter("large").join(near_bands(bands, "comp", scratch), ["comp", "band"])
     columns = ["key", "least", "text_hash", "copies", "comp"]
-    split = split.select(*columns, F.col("comp").alias("g1"), F.concat(inner, outer, inward).alias("meets"))
-    whole = wanted.filter("not large").select(*columns, F.pmod(F.xxhash64("comp"), F.lit(bundles)).cast("long").alias("g1"), F.array(meet(F.lit(-1).cast("long"), F.lit(2))).alias("meets"))
+    split = split.select(*columns, F.col("comp").alias("g1"), block_meetings().alias("meets"))
+    whole = wanted.filter("not large").select(*columns, F.pmod(F.xxhash64("comp"), F.lit(bundles)).cast("long").alias("g1"), F.array(F.struct(F.lit(-1).cast("long").alias("g2"), F.lit(2).alias("side"))).alias("meets"))
     return whole.unionByName(split)
 
 

@@ -1,10 +1,11 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 
-from stratakv.llm import components, ngram_trie
+from stratakv.llm import components, ngram_trie, workdir
 
 from .conftest import EDGES, prose
 
@@ -134,3 +135,48 @@ def test_many_rows_without_ids(make_docs):
     got = ngram_trie.near_classes(make_docs(rows), 3, 90, 100).collect()
     assert len(got) == 10_000 and all(r.component_id is None for r in got)
     assert {r.n_links for r in got} == {3}  # its own copy, and both of the longer or shorter text
+
+
+@pytest.mark.parametrize("n,num", [(3, 90), (5, 80)])
+def test_many_unlike_texts_of_one_line_are_not_proposed(make_docs, monkeypatch, n, num):
+    """More sets than GROUP meet in the n-grams of a line; only the near copies among them go on to the trees."""
+    monkeypatch.setattr(ngram_trie, "GROUP", 30)
+    rng = random.Random(4)
+    line = " ".join(f"line{k}" for k in range(60))
+    rows = [(i, f"{line} " + " ".join(f"own{i}x{k}" for k in range(60 + i % 40))) for i in range(300)]
+    rows += [(1000 + i, f"{rows[i][1]} end{i}") for i in range(0, 300, 10)]
+    rng.shuffle(rows)
+    scratch = workdir.Scratch()
+    docs = make_docs(rows).select("doc_id", "text")
+    reps = ngram_trie.signatures(docs, np.zeros(1 << ngram_trie.SKETCH_BITS, dtype=np.uint8), n, num, 100).selectExpr("doc_id", "key", "n_shingles", "prefix", "parity")
+    reps = scratch.table(reps, "reps")
+    met = reps.selectExpr("explode(prefix) as token").groupBy("token").count().filter("count > 30").count()
+    assert met > 0  # so that the blocks are met with
+    ids = {r.key: r.doc_id for r in reps.collect()}
+    pairs = {tuple(sorted((ids[r.a], ids[r.b]))) for r in ngram_trie.proposals(reps, num, 100, scratch).collect()}
+    scratch.drop()
+    assert {(i, 1000 + i) for i in range(0, 300, 10)} <= pairs
+    assert len(pairs) < 60
+
+
+def test_levels_tell_small_shares_in_large_tables():
+    rng = np.random.default_rng(1)
+    for mean in (0, 2, 100, 1200, 6000):
+        total = rng.poisson(mean, 1 << 16).astype(np.uint64)
+        total[:50] += np.uint64(4 * mean + 100)
+        level = ngram_trie.counter_levels(total)
+        assert (level[:50] > 0).all() and (level[50:] == 0).mean() > 0.999
+
+
+def test_shuffle_files_go_with_the_step(spark):
+    files = lambda: sum("shuffle_" in str(f) for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()))
+    before = files()
+    kept = [spark.range(1000).repartition(4), spark.range(100).selectExpr("id % 7 as a").groupBy("a").count()]
+    tables = [workdir.Table(df, "freed") for df in kept]
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before
+    assert [t.df.count() for t in tables] == [1000, 7]
+    assert [df.count() for df in kept] == [1000, 7]
