@@ -8,7 +8,7 @@ must share an n-gram within the first n - ceil(s * n) + 1 of each.
 2. Prefix n-grams met by two classes or more propose links. N-grams with the same members propose once. Pairs are held
    against each other by length and by parity bitmaps (the number of differing bits is at most the size of the symmetric
    difference, so no link is lost), and only a spanning forest of what passes goes on. Beyond `GROUP` members a task holds
-   two blocks of that size, dealt as in 3; unlike texts that share a line are not proposed, however many they are.
+   two blocks of at most about that size, dealt as in 3; unlike texts that share a line are not proposed, however many they are.
 3. Proposals' components are where links can be. Each is a group of sets for the prefix trees. Small groups share tasks; a
    large one is cut into bands of lengths, so that only sets of the same or neighbouring bands can link, and a band into
    blocks, so that a task holds two blocks whatever the group's size. Every two blocks that can hold a link meet once.
@@ -48,6 +48,7 @@ GROUP = 1000
 BLOCK_GRAMS, BLOCK_SETS = 500_000, 8192  # of a task's block at most
 SPLIT_GRAMS, SPLIT_SETS = 64_000, 128  # groups beyond either are split into blocks of these sizes
 SPLITS = 16  # up to so many, and into more only where the bounds of a block ask for it
+WIDE_SPLITS = 8  # the same for n-grams of over GROUP members
 CELLS = 4 << 20  # of an incidence matrix
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -432,7 +433,9 @@ def proposals(reps: DataFrame, num: int, den: int, scratch: Scratch) -> DataFram
     small = tokens.join(groups.filter((F.col("m") > 2) & (F.col("m") <= GROUP)).select("token"), "token").withColumn("meets", whole)
     wide = scratch.table(groups.filter(F.col("m") > GROUP).select("token"), "wide-groups")
     large = tokens.join(wide, "token").withColumn("band", band_of(F.col("n_shingles"), num, den))
-    bands = scratch.table(large.groupBy("token", "band").agg(F.ceil(F.count("*") / GROUP).cast("long").alias("own")), "wide-bands")
+    sets = F.count("*")
+    blocks = F.greatest(F.least(F.ceil(sets / SPLIT_SETS), F.lit(WIDE_SPLITS)), F.ceil(sets / GROUP)).cast("long")
+    bands = scratch.table(large.groupBy("token", "band").agg(blocks.alias("own")), "wide-bands")
     large = large.join(near_bands(bands, "token", scratch), ["token", "band"]).withColumn("meets", block_meetings())
     dealt = small.select("token", "key", "meets").unionByName(large.select("token", "key", "meets")).join(marked, "key")
     dealt = dealt.select("token", "key", "n_shingles", "parity", F.explode("meets").alias("m")).select("token", "key", "n_shingles", "parity", "m.g2", "m.side")
