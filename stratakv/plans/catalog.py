@@ -16,7 +16,7 @@ from stratakv.model import UNBOUNDED, Bound, Options, Simple, events_log, orders
 from stratakv.operators import blocks, compact, query, resolve, segment
 from stratakv.plans import hash_sql
 from stratakv.sources import scratch
-from stratakv.sources.store import KVStore
+from stratakv.sources.store import TRACK, KVStore, replayed
 
 RUN = 1000  # entries of a run that the queries cut the log into
 THRESHOLD, BLOCK, LIMIT = 1024, 256, 2
@@ -369,15 +369,17 @@ UNION ALL SELECT id, 'level0' FROM flushed WHERE id NOT IN (SELECT id FROM flush
 UNION ALL SELECT CAST(1000000 AS BIGINT), 'level1'""",
 )
 def manifest_replay(spark, sf_dir):
-    from stratakv.sources.store import replay
-
-    ids = sorted(r[0] for r in _frozen(spark, sf_dir).select("segment_id").distinct().collect())
-    gone = [i for i in ids if i < max(ids) - LIMIT]
-    tracks = [{"type": "create", "id": i} for i in ids] + [{"type": "flush", "id": i, "run": i} for i in gone]
-    tracks.append({"type": "compact", "task": compact.Task(None, tuple(gone[:3]), 1, (), False).encode(), "outputs": [1_000_000]})
-    live, levels, _ = replay(tracks)
-    rows = [(i, "memtable") for i in live] + [(i, "level0") for i in levels.level0] + [(i, f"level{k}") for k, v in levels.below.items() for i in v]
-    return spark.createDataFrame(rows, "id long, kind string")
+    """Tracks of the log's segments, a row or two each, written and replayed in plans; the driver sees four numbers."""
+    path = scratch.folder(spark, "segments")
+    _frozen(spark, sf_dir).select(F.col("segment_id").alias("id")).distinct().write.parquet(path)
+    made = spark.read.schema("id long").parquet(path)
+    last = made.agg(F.max("id")).first()[0]
+    gone = made.filter(F.col("id") < F.lit(None if last is None else last - LIMIT).cast("long"))
+    first = [r.id for r in gone.orderBy("id").limit(3).collect()]
+    track = lambda df, place, kind, run: df.select(place.alias("place"), F.lit(kind).alias("type"), "id", run.cast("long").alias("run"), F.lit(None).cast("string").alias("task"), F.lit(None).cast("array<long>").alias("outputs"))
+    merged = (1 << 62, "compact", None, None, compact.Task(None, tuple(first), 1, (), False).encode(), [1_000_000])
+    tracks = track(made, F.col("id"), "create", F.lit(None)).unionByName(track(gone, F.col("id") + (1 << 61), "flush", F.col("id")))
+    return replayed(tracks.unionByName(spark.createDataFrame([merged], TRACK)))
 
 
 @query_of("wal_replay", f"WITH {K} SELECT key, arg_max(value, seq) AS value FROM k GROUP BY key")

@@ -31,6 +31,8 @@ from stratakv.operators.resolve import newest_rows
 
 STORED = f"{LOG}, crc long"
 TRACKS = 100  # tracks of a file
+TRACK = "place long, type string, id long, run long, task string, outputs array<long>"
+TASK = "upper_level long, upper_ids array<long>, lower_level long, lower_ids array<long>, is_bottom boolean"
 
 
 @dataclass
@@ -69,13 +71,13 @@ class Snapshot:
 
 def replay(tracks: list[dict]) -> tuple[list[int], Levels, int]:
     """Segments that are not flushed, levels, and the largest id, from the tracks alone, in order."""
-    created, levels, most = [], Levels(), 0
+    created, levels, most = {}, Levels(), 0
     for t in tracks:
         if t["type"] == "create":
-            created.append(t["id"])
+            created[t["id"]] = True
             most = max(most, t["id"])
         elif t["type"] == "flush":
-            created.remove(t["id"])
+            del created[t["id"]]
             if t.get("run") is not None:
                 levels.level0.append(t["run"])
                 most = max(most, t["run"])
@@ -84,7 +86,25 @@ def replay(tracks: list[dict]) -> tuple[list[int], Levels, int]:
             most = max([most, *t["outputs"]])
         else:
             raise ValueError(f"unknown track {t['type']}")
-    return created, levels, most
+    return list(created), levels, most
+
+
+def replayed(tracks: DataFrame) -> DataFrame:
+    """id, kind of the same segments ("memtable") and runs ("level0", "level1", ...), from tracks that are too many for the
+    driver. tracks: TRACK, place being a track's place in the order. Ids are given once, so what a flush or a compaction
+    takes away is gone wherever it stands; of each level below 0 the last compaction into or out of it says what it holds."""
+    of = lambda kind: tracks.filter(F.col("type") == kind)
+    wrong = F.raise_error(F.concat(F.lit("unknown track "), F.coalesce("type", F.lit("null")))).cast("boolean")
+    unknown = tracks.filter(F.when(F.col("type").isin("create", "flush", "compact"), False).otherwise(wrong)).select("id", F.col("type").alias("kind"))
+    tasks = of("compact").withColumn("task", F.from_json("task", TASK))
+    segments = of("create").select("id").join(of("flush").select("id"), "id", "left_anti")
+    taken = tasks.filter("task.upper_level IS NULL").select(F.explode("task.upper_ids").alias("id"))
+    level0 = of("flush").filter("run IS NOT NULL").select(F.col("run").alias("id")).join(taken, "id", "left_anti")
+    into = tasks.select(F.col("task.lower_level").alias("level"), "place", "outputs")
+    out_of = tasks.filter("task.upper_level IS NOT NULL").select(F.col("task.upper_level").alias("level"), "place", F.array().cast("array<long>").alias("outputs"))
+    below = into.unionByName(out_of).groupBy("level").agg(F.max_by("outputs", "place").alias("ids"))
+    below = below.select(F.explode("ids").alias("id"), F.concat(F.lit("level"), F.col("level").cast("string")).alias("kind"))
+    return segments.withColumn("kind", F.lit("memtable")).unionByName(level0.withColumn("kind", F.lit("level0"))).unionByName(below).unionByName(unknown)
 
 
 class KVStore:

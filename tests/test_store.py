@@ -5,8 +5,8 @@ import random
 import pytest
 
 from stratakv.model import Bound, NoCompact, Options, Simple
-from stratakv.operators.compact import Task
-from stratakv.sources.store import KVStore, replay
+from stratakv.operators.compact import Levels, Task, apply_result
+from stratakv.sources.store import TRACK, KVStore, replay, replayed
 from stratakv.streaming import ingest
 
 
@@ -221,3 +221,48 @@ def test_filters_prune_runs_of_any_size(spark, tmp_path):
     assert sum(len(store.holding(key, [even, odd])) for key in keys[:30]) <= 40
     assert store.get(keys[1]) == b"v" and store.get(b"k9") is None
     assert len(store.log(Bound.included(keys[0]), Bound.included(keys[0]), keys[0]).inputFiles()) <= 2
+
+
+def test_replay_takes_time_by_the_tracks_alone():
+    class Counted(int):
+        asked = 0
+        __hash__ = int.__hash__
+
+        def __eq__(self, other):
+            Counted.asked += 1
+            return int(self) == int(other)
+
+    n = 2000
+    tracks = [{"type": "create", "id": Counted(i)} for i in range(n)]
+    tracks += [{"type": "flush", "id": Counted(i), "run": i} for i in reversed(range(1, n))]
+    live, levels, most = replay(tracks)
+    assert live == [0] and levels.level0 == list(reversed(range(1, n))) and most == n - 1
+    assert Counted.asked < 10 * n
+
+
+def test_tracks_replayed_in_a_plan_as_in_the_driver(spark):
+    rng = random.Random(3)
+    for _ in range(6):
+        tracks, levels, waiting, ids = [], Levels([], {1: [], 2: [], 3: []}), [], iter(range(10**6))
+        for _ in range(rng.randrange(60)):
+            act = rng.choice(["create", "create", "flush", "flush", "compact"])
+            if act == "create":
+                waiting.append(next(ids))
+                tracks.append({"type": "create", "id": waiting[-1]})
+            elif act == "flush" and waiting:
+                run = None if rng.random() < 0.2 else next(ids)
+                levels.level0 += [] if run is None else [run]
+                tracks.append({"type": "flush", "id": waiting.pop(rng.randrange(len(waiting))), "run": run})
+            elif act == "compact":
+                k = rng.randrange(3)
+                upper = levels.below[k] if k else levels.level0[: rng.randrange(len(levels.level0) + 1)]
+                task = Task(k or None, tuple(upper), k + 1, tuple(levels.below[k + 1]), k == 2)
+                outputs = [next(ids) for _ in range(rng.randrange(3))]
+                levels, _ = apply_result(levels, task, outputs)
+                tracks.append({"type": "compact", "task": task.encode(), "outputs": outputs})
+        live, after, _ = replay(tracks)
+        want = [(i, "memtable") for i in live] + [(i, f"level{k}") for k, v in [(0, after.level0), *after.below.items()] for i in v]
+        rows = [(i, t["type"], t.get("id"), t.get("run"), t.get("task"), t.get("outputs")) for i, t in enumerate(tracks)]
+        assert sorted(tuple(r) for r in replayed(spark.createDataFrame(rows, TRACK)).collect()) == sorted(want)
+    with pytest.raises(Exception, match="unknown track"):
+        replayed(spark.createDataFrame([(0, "other", 1, None, None, None)], TRACK)).collect()
