@@ -186,7 +186,7 @@ def _positions_of(hashes: np.ndarray, m: int, k: int) -> np.ndarray:
 
 def filter_pieces(keys: DataFrame) -> DataFrame:
     """part, piece, bits: a filter over each part's keys (as many as the part has rows), in pieces of PIECE_BITS. A part is
-    one run, whose bytes its writer bounds; its filter takes about a byte a key."""
+    one slice of a run, whose entries its writer bounds; its filter takes about a byte a key."""
 
     def fold(rows: pa.Table) -> pa.Table:
         n = len(rows)

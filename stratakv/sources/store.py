@@ -1,7 +1,8 @@
 """A store on a shared file system: a durable log of segments, sorted Parquet runs in levels, and a manifest.
 
 Layout under the root: `log/segment=<id>/` holds the entries of a segment as they were put, each with its checksum;
-`runs/<name>/part=<k>/` is a sorted run, likewise, and `filters/<name>/` the Bloom filters of the runs written with it;
+`runs/<name>/part=<k>/` is a slice of a sorted run, likewise, and `filters/<name>/` the Bloom filters of the slices written
+with it. A run is as many slices, apart and in key order, as keep each within what a task should hold, so it may be of any size;
 `manifest/<version>.json` is a whole snapshot of the store but for its older tracks, which lie in `tracks/` and are
 written once. A commit writes the next version under another name and renames it, so readers see either snapshot, and
 only then does the store in memory change. Files that a commit lets go of stay for `keep_versions` more commits, so that
@@ -18,6 +19,7 @@ import copy
 import json
 import uuid
 from dataclasses import dataclass, field
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +33,7 @@ from stratakv.operators.resolve import newest_rows
 
 STORED = f"{LOG}, crc long"
 TRACKS = 100  # tracks of a file
+SLICE, ENTRY = 64 << 20, 100  # bytes of a slice, about; what a task holds for an entry besides its key and value
 TRACK = "place long, type string, id long, run long, task string, outputs array<long>"
 TASK = "upper_level long, upper_ids array<long>, lower_level long, lower_ids array<long>, is_bottom boolean"
 
@@ -234,24 +237,37 @@ class KVStore:
         stored = self.spark.read.schema(STORED).parquet(*paths) if paths else self.spark.createDataFrame([], STORED)
         return verified(stored if where is None else stored.filter(where))
 
-    def _save_runs(self, now: Snapshot, entries: DataFrame, parts: int) -> list[int]:
+    def _save_runs(self, now: Snapshot, entries: DataFrame, parts: int, n: int, size: int) -> list[int]:
         """Sorted runs of ranges of keys, `parts` at most, written once; ids of those that hold something, in key order.
-        What the manifest says of them comes from one grouped aggregate, a row a run."""
+        n and size are the entries and bytes that these are at most: they say how many slices a run has. What the manifest
+        says of runs comes from one grouped aggregate, a row a slice."""
         name = uuid.uuid4().hex
         path, filters = f"{self.path}/runs/{name}", f"{self.path}/filters/{name}"
+        slices = max(1, -(-(size + ENTRY * n) // (SLICE * parts)))
         own = with_checksum(entries)
-        own = own.repartitionByRange(parts, "key") if parts > 1 else own.coalesce(1)
+        own = own.repartitionByRange(parts * slices, "key") if parts * slices > 1 else own.coalesce(1)
         own.withColumn("part", F.spark_partition_id()).sortWithinPartitions("part", "key").write.partitionBy("part").option("parquet.bloom.filter.enabled#key", "true").parquet(path)
         saved = self.spark.read.schema(f"{STORED}, part int").parquet(path)
         stats = saved.groupBy("part").agg(F.count("*").alias("n"), F.hex(F.min("key")).alias("first"), F.hex(F.max("key")).alias("last"), F.sum(F.octet_length("key") + F.octet_length("value")).alias("bytes")).orderBy("part").collect()
         if not stats:
             self._delete(path)
             return []
-        ids = list(range(now.next_id, now.next_id + len(stats)))
-        now.next_id += len(stats)
-        for run, x in zip(ids, stats):
-            now.runs[run] = {"paths": [f"{path}/part={x['part']}"], "n": x["n"], "first": x["first"], "last": x["last"], "bytes": int(x["bytes"]), "filter": filters, "part": x["part"]}
-        sketch.filter_pieces(saved.select("part", "key")).write.parquet(filters)
+        ids = []
+        for _, group in groupby(stats, lambda x: x["part"] // slices):
+            held = list(group)
+            ids.append(now.next_id)
+            now.next_id += 1
+            now.runs[ids[-1]] = {
+                "paths": [f"{path}/part={x['part']}" for x in held],
+                "n": sum(x["n"] for x in held),
+                "first": held[0]["first"],
+                "last": held[-1]["last"],
+                "bytes": sum(int(x["bytes"]) for x in held),
+                "filter": filters,
+                "slices": [[x["part"], x["n"], x["first"], x["last"]] for x in held],
+            }
+        dealt = min(len(stats), max(self.spark.sparkContext.defaultParallelism, -(-(size + ENTRY * n) // SLICE)))
+        sketch.filter_pieces(saved.select("part", "key").repartitionByRange(dealt, "part")).write.parquet(filters)
         return ids
 
     def force_flush(self) -> int | None:
@@ -261,7 +277,8 @@ class KVStore:
         now = self.now.draft()
         segment = now.immutable.pop(0)
         gone = now.segment_paths.pop(segment, [])
-        made = self._save_runs(now, newest_rows(self._entries(gone)), 1) if gone else []
+        n = self.spark.read.schema(STORED).parquet(*gone).count() if gone else 0
+        made = self._save_runs(now, newest_rows(self._entries(gone)), 1, n, now.segment_bytes[segment]) if gone else []
         run = made[0] if made else None
         del now.segment_bytes[segment]
         now.levels.level0 += made
@@ -277,8 +294,8 @@ class KVStore:
         now = self.now.draft()
         ids = [*task.upper_ids, *task.lower_ids]
         merged = compact.merge_entries(self._entries(self._paths(ids)), task.is_bottom)
-        size = sum(now.runs[i]["bytes"] for i in ids)  # what is merged away makes the runs somewhat smaller
-        outputs = self._save_runs(now, merged, max(1, -(-size // self.options.run_size)))
+        n, size = (sum(now.runs[i][k] for i in ids) for k in ("n", "bytes"))  # what is merged away makes the runs somewhat smaller
+        outputs = self._save_runs(now, merged, max(1, -(-size // self.options.run_size)), n, size)
         now.levels, old = compact.apply_result(now.levels, task, outputs)
         now.tracks.append({"type": "compact", "task": task.encode(), "outputs": outputs})
         dropped = [now.runs.pop(i) for i in old]
@@ -312,41 +329,51 @@ class KVStore:
 
     # reads
 
-    def _paths(self, ids: list[int]) -> list[str]:
-        return [p for i in ids for p in self.now.runs[i]["paths"]]
+    @staticmethod
+    def _slices(run: dict) -> list[list]:
+        """part, n, first, last of a run's slices, in the order of its paths; older manifests have runs of one."""
+        return run["slices"] if "slices" in run else [[run["part"], run["n"], run["first"], run["last"]]]
+
+    @staticmethod
+    def _meets(first: str, last: str, lower: Bound, upper: Bound) -> bool:
+        """Whether keys from first to last can be in a range."""
+        first, last = bytes.fromhex(first), bytes.fromhex(last)
+        below = upper.kind != "unbounded" and (upper.value < first or upper.kind == "excluded" and upper.value == first)
+        above = lower.kind != "unbounded" and (lower.value > last or lower.kind == "excluded" and lower.value == last)
+        return not below and not above
+
+    def _paths(self, ids: list[int], lower: Bound = UNBOUNDED, upper: Bound = UNBOUNDED) -> list[str]:
+        """Slices of the runs whose keys can be in a range."""
+        return [p for i in ids for p, (_, _, first, last) in zip(self.now.runs[i]["paths"], self._slices(self.now.runs[i])) if self._meets(first, last, lower, upper)]
 
     def overlapping(self, lower: Bound, upper: Bound) -> list[int]:
         """Runs whose keys can be in a range, by their first and last keys."""
-        out = []
-        for i in self.now.levels.all_ids():
-            first, last = (bytes.fromhex(self.now.runs[i][k]) for k in ("first", "last"))
-            below = upper.kind != "unbounded" and (upper.value < first or upper.kind == "excluded" and upper.value == first)
-            above = lower.kind != "unbounded" and (lower.value > last or lower.kind == "excluded" and lower.value == last)
-            if not below and not above:
-                out.append(i)
-        return out
+        return [i for i in self.now.levels.all_ids() if self._meets(self.now.runs[i]["first"], self.now.runs[i]["last"], lower, upper)]
 
     def holding(self, key: bytes, ids: list[int]) -> list[int]:
-        """Those of the runs whose Bloom filters may hold the key. Of each filter only the pieces with the key's bits are
-        read."""
-        if not ids:
+        """Those of the runs whose Bloom filters may hold the key. Only a run's slice around the key is asked, and of its
+        filter only the pieces with the key's bits are read."""
+        own = Bound.included(key)
+        around = {i: (part, n) for i in ids for part, n, first, last in self._slices(self.now.runs[i]) if self._meets(first, last, own, own)}
+        if not around:
             return []
-        asked = {i: sketch.pieces_of(key, self.now.runs[i]["n"]) for i in ids}
+        asked = {i: sketch.pieces_of(key, n) for i, (_, n) in around.items()}
         pieces = sorted({p for bits in asked.values() for p, _ in bits})
-        parts = sorted({self.now.runs[i]["part"] for i in ids})
-        folders = sorted({self.now.runs[i]["filter"] for i in ids})
+        parts = sorted({part for part, _ in around.values()})
+        folders = sorted({self.now.runs[i]["filter"] for i in around})
         rows = self.spark.read.schema(sketch.PIECE_ROWS).parquet(*folders).filter(F.col("part").isin(parts) & F.col("piece").isin(pieces)).select("part", "piece", "bits", F.input_file_name().alias("file")).collect()
         found = {(next(f for f in folders if f.rsplit("/", 1)[1] in r["file"]), r["part"], r["piece"]): r["bits"] for r in rows}
-        run = lambda i: (self.now.runs[i]["filter"], self.now.runs[i]["part"])
-        return [i for i in ids if all(found[(*run(i), p)][b >> 3] >> (b & 7) & 1 for p, b in asked[i])]
+        run = lambda i: (self.now.runs[i]["filter"], around[i][0])
+        return [i for i in around if all(found[(*run(i), p)][b >> 3] >> (b & 7) & 1 for p, b in asked[i])]
 
     def log(self, lower: Bound = UNBOUNDED, upper: Bound = UNBOUNDED, key: bytes | None = None) -> DataFrame:
         """batch, ord, key, value of everything in a range of keys, or of one key; only files that can hold some are read."""
         ids, where = self.overlapping(lower, upper), key_range(lower, upper)
         if key is not None:
             ids, where = self.holding(key, ids), F.col("key") == F.lit(key)
+            lower = upper = Bound.included(key)
         paths = [p for s in [*self.now.immutable, self.now.memtable] for p in self.now.segment_paths.get(s, [])]
-        return self._entries([*paths, *self._paths(ids)], where)
+        return self._entries([*paths, *self._paths(ids, lower, upper)], where)
 
     def get(self, key: bytes) -> bytes | None:
         own = Bound.included(key)

@@ -266,3 +266,75 @@ def test_tracks_replayed_in_a_plan_as_in_the_driver(spark):
         assert sorted(tuple(r) for r in replayed(spark.createDataFrame(rows, TRACK)).collect()) == sorted(want)
     with pytest.raises(Exception, match="unknown track"):
         replayed(spark.createDataFrame([(0, "other", 1, None, None, None)], TRACK)).collect()
+
+
+def test_a_run_is_written_in_slices(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from stratakv.sources import store as module
+
+    monkeypatch.setattr(module, "SLICE", 100_000, raising=False)
+    store, model = KVStore.open(spark, str(tmp_path / "s"), Options(run_size=1 << 40, strategy=Simple(200, 2, 2))), {}
+    for k in range(2):
+        store.put(spark.range(9000).select(F.format_string("k%05d", F.col("id") * 2 % 9001 + k).alias("key"), F.format_string("v%d", F.lit(k)).alias("value"), F.col("id").alias("ord")))
+        model |= {b"k%05d" % (i * 2 % 9001 + k): b"v%d" % k for i in range(9000)}
+        store.force_freeze()
+        store.force_flush()
+    least, most = min(model), max(model)
+
+    def checked(level):
+        runs = store.dump()[level]
+        for run in runs:
+            at = store.now.runs[run]
+            counts = [spark.read.parquet(p).count() for p in at["paths"]]
+            assert len(counts) >= 9 and max(counts) <= 3000 and sum(counts) == at["n"]
+            ends = [x for _, _, first, last in at["slices"] for x in (first, last)]
+            assert ends == sorted(ends) and ends[0] == at["first"] and ends[-1] == at["last"]
+        for key in (least, b"k04000", b"k04501", most):
+            assert store.get(key) == model[key] and len(store.log(key=key).inputFiles()) <= len(runs)
+        assert store.get(b"a") is None and store.get(b"k04000x") is None
+        assert scanned(store) == model
+        low, high = Bound.excluded(b"k02000"), Bound.included(b"k02100")
+        assert scanned(store, low, high) == {k: v for k, v in model.items() if b"k02000" < k <= b"k02100"}
+        assert len(store.log(low, high).inputFiles()) <= 2 * len(runs)
+        return len(runs)
+
+    assert checked("L0") == 2
+    store.compact()
+    assert store.dump()["L0"] == [] and checked("L1") == 1
+    store = KVStore.open(spark, store.path, store.options)
+    assert checked("L1") == 1
+    store.full_compaction()
+    assert checked("L2") == 1
+
+
+def test_compaction_into_several_runs_of_several_slices(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from stratakv.sources import store as module
+
+    monkeypatch.setattr(module, "SLICE", 100_000, raising=False)
+    store = KVStore.open(spark, str(tmp_path / "s"), Options(run_size=30_000, strategy=Simple(200, 1, 1)))
+    store.put(spark.range(9000).select(F.format_string("k%05d", "id").alias("key"), F.lit("v").alias("value"), F.col("id").alias("ord")))
+    store.maintain()
+    store.force_flush()
+    store.compact()
+    runs = [store.now.runs[i] for i in store.dump()["L1"]]
+    assert len(runs) == 3 and all(len(r["paths"]) == 4 for r in runs) and sum(r["n"] for r in runs) == 9000
+    assert all(a["last"] < b["first"] for a, b in zip(runs, runs[1:])) and len(scanned(store)) == 9000
+
+
+def test_runs_of_manifests_before_slices(spark, tmp_path):
+    store = KVStore.open(spark, str(tmp_path / "s"), Options(strategy=Simple(200, 2, 2)))
+    for value in (b"1", b"2"):
+        put(spark, store, [(b"a", value), (b"b" + value, value)])
+        store.force_freeze()
+        store.force_flush()
+    now = store.now.draft()
+    for run in now.runs.values():
+        run["part"] = run.pop("slices")[0][0]
+    store._commit(now)
+    again = KVStore.open(spark, store.path, store.options)
+    assert again.get(b"a") == b"2" and again.get(b"b1") == b"1" and again.get(b"c") is None
+    again.compact()
+    assert scanned(again) == {b"a": b"2", b"b1": b"1", b"b2": b"2"}
