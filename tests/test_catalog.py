@@ -33,6 +33,20 @@ def test_query(spark, con, name):
     assert got == sorted(repr(tuple(r[i] for i in at)) for r in answer.fetchall())
 
 
+SLICED = ["store_delete"]
+
+
+@pytest.mark.parametrize("name", SLICED)
+def test_store_query_over_runs_of_several_slices(spark, con, name, tmp_path, monkeypatch):
+    from stratakv.sources import store
+
+    monkeypatch.setattr(store, "SLICE", 10_000, raising=False)
+    monkeypatch.setattr(catalog.scratch, "folder", lambda spark, name: str(tmp_path / name))
+    test_query(spark, con, name)
+    runs = os.listdir(tmp_path / "store" / "runs")
+    assert runs and all(len(glob.glob(f"{tmp_path}/store/runs/{r}/part=*")) > 2 for r in runs)
+
+
 def test_entry(spark):
     import __spark_entry__
 
