@@ -33,7 +33,7 @@ def test_query(spark, con, name):
     assert got == sorted(repr(tuple(r[i] for i in at)) for r in answer.fetchall())
 
 
-SLICED = ["store_delete", "store_flush_scan", "store_get", "store_prune"]
+SLICED = ["store_delete", "store_flush_scan", "store_get", "store_prune", "store_reopen"]
 
 
 @pytest.mark.parametrize("name", SLICED)
